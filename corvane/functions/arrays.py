@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY = 1e-12
 SAMPLE_RATE = 16000
@@ -102,7 +103,7 @@ def silence(signal: np.ndarray, rate: int = SAMPLE_RATE, threshold_db: float = Q
     return (sums[window : window + len(signal)] - sums[: len(signal)]) / window < 10.0 ** (threshold_db / 20.0)
 
 
-@F.pandas_udf("struct<silence_ratio:double,leading_silence:double,trailing_silence:double>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("silence_ratio", "leading_silence", "trailing_silence")]))
 def silence_stats(signals: pd.Series) -> pd.DataFrame:
     rows = []
     for s in signals:
@@ -114,7 +115,7 @@ def silence_stats(signals: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["silence_ratio", "leading_silence", "trailing_silence"])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def trim_silence(signals: pd.Series) -> pd.Series:
     """Without silence at both ends, but for 0.15 s; a wholly silent signal stays as it is."""
 

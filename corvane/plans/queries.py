@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import arrays, text
+from corvane.sources.tables import save
 from corvane.operators import augment, dedup, metrics, report, sampling, templates, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,9 +54,16 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PUNCT = text.ASCII_PUNCTUATION.replace("'", "''")
-FORM = f"regexp_replace(translate(lower(regexp_replace(regexp_replace(substr({{}}, 1, {SEGMENT}), '[^\\x00-\\x7F]', '', 'g'), '(?i)^\\s*language\\s+\\w+\\s*<asr_text>\\s*', '')), '{PUNCT}', ''), '\\s+', '', 'g')"
+
+
+def form_sql(column: str) -> str:
+    folded = f"regexp_replace(substr({column}, 1, {SEGMENT}), '[^\\x00-\\x7F]', '', 'g')"
+    untagged = f"regexp_replace({folded}, '(?i)^\\s*language\\s+\\w+\\s*<asr_text>\\s*', '')"
+    return f"regexp_replace(translate(lower({untagged}), '{PUNCT}', ''), '\\s+', '', 'g')"
+
+
 PAIRS = f"""said as (select *, lag(text) over (partition by conv_id order by turn) as before from conversations),
-pairs as (select conv_id, turn, role, {FORM.format('before')} as reference, {FORM.format("coalesce(text, '')")} as hypothesis from said where before is not null),
+pairs as (select conv_id, turn, role, {form_sql('before')} as reference, {form_sql("coalesce(text, '')")} as hypothesis from said where before is not null),
 scored as (select *, length(reference) as reference_length, levenshtein(reference, hypothesis) as distance from pairs)"""
 RATES = """count(*) filter (reference_length > 0) as n_scored, count(*) filter (reference_length = 0) as n_empty_reference,
 cast(sum(distance) filter (reference_length > 0) as bigint) as sum_distance, cast(sum(reference_length) filter (reference_length > 0) as bigint) as sum_reference,
@@ -197,16 +205,14 @@ def grams_of_documents(spark, sf_dir):
 @query()
 def near_dup_pairs(spark, sf_dir):
     """Pairs of documents whose trigram sets are 0.9 alike; of documents with equal sets, pairs with the first of them."""
-    return dedup.near_pairs(grams_of_documents(spark, sf_dir))
+    return dedup.near_pairs(grams_of_documents(spark, sf_dir), save)
 
 
 @query()
 def near_dup_greedy(spark, sf_dir):
     """What first-come, first-kept acceptance keeps."""
-    from corvane.sources.tables import save
-
-    grams = grams_of_documents(spark, sf_dir)
-    return dedup.accept_greedily(grams, dedup.near_pairs(grams), save)
+    grams = save(grams_of_documents(spark, sf_dir), "greedy-grams")
+    return dedup.accept_greedily(grams, dedup.near_pairs(grams, save), save)
 
 
 @query("""select doc_id, len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) as cjk, len(regexp_extract_all(t, '[A-Za-z]')) as latin, len(regexp_extract_all(t, '[0-9]')) as digit from (select doc_id, coalesce(text, '') as t from documents)""")

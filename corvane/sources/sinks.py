@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.sources.readers import MANIFEST
 
@@ -46,7 +47,7 @@ def encode_wav(signal, rate: int = 16000) -> bytes:
     return out.getvalue()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wav_bytes(signals: pd.Series) -> pd.Series:
     """16-bit WAV files as bytes, to be written by any binary sink."""
     return signals.map(lambda s: None if s is None else encode_wav(s))

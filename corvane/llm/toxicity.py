@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +106,26 @@ def clause_matches(stream: list[str], lexicon: dict[str, float]) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text, toxic of at most `rows` labelled documents of either label, those whose ids have the least hashes."""
+    """doc_id, text, toxic of at most `rows` labelled documents of either label, those whose ids have the least hashes.
+
+    Of copies and near copies in the sample, told by the least hashes of their longer words, one stays: a passage that
+    was copied often says no more about words than once.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = [known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for x in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in drawn[0].unionByName(drawn[1]).collect()], "doc_id long, toxic int")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    added = {"_mark": ("string", pa.string())}
+    marked = with_computed(texts, ["text"], added, lambda: lambda column: ([copy_mark(t) for t in column],))
+    first = marked.groupBy("_mark", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return marked.drop("_mark").join(F.broadcast(first), "doc_id", "left_semi")
+
+
+def copy_mark(text: str | None) -> str:
+    """The same for most texts that differ in a few words, and seldom for others."""
+    words = set(tokens(text))
+    hashes = sorted(xxhash.xxh3_64_intdigest(w) for w in words if len(w) > 7)
+    return "-".join(map(str, hashes[:2])) if len(hashes) > 1 else " ".join(sorted(words))
 
 
 def _count_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,9 +153,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, lexicon_size: in
         return Grammar({}, tuple(KINDS.values()), BIAS)
     surely = (F.col("bad") - 1.5 * F.sqrt("bad")) / whole.bad
     at_most = (F.col("good") + 3 * F.sqrt(F.col("good") + 1)) / whole.good
-    ratio = counted.where("bad >= 3 and form <> ''").withColumn("weight", F.log(surely / at_most)).where("weight > 0.7")
+    pure = F.col("bad") / whole.bad >= 10 * F.col("good") / whole.good  # what a language has more of in toxic texts isn't an insult
+    ratio = counted.where("bad >= 3 and form <> ''").where(pure).withColumn("weight", F.log(surely / at_most)).where("weight > 1.0")
     heavy = ratio.orderBy(F.desc("weight"), "form").limit(lexicon_size).collect()
-    lexicon = {r.form: min(3.0, r.weight) for r in heavy}
+    # the larger the sample, the heavier the sure entries and the better chance finds can be told from them
+    heavy = [r for r in heavy if r.weight >= 0.3 * heavy[0].weight]
+    whole_words = {r.form: r.bad for r in heavy if not r.form.endswith("*")}
+    # a stem that stands for hardly more than one word gives way to it: other languages may have words with that stem
+    alone = {r.form for r in heavy if r.form.endswith("*") and any(bad >= 0.7 * r.bad for w, bad in whole_words.items() if w.startswith(r.form[:-1]))}
+    lexicon = {r.form: min(3.0, r.weight) for r in heavy if r.form not in alone}
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,14 +14,25 @@ from corvane.llm.shared import with_computed
 
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+AGAIN = re.compile(r"\b(\w+)(?: \1\b)+")
+#: Below so many bytes a text is encoded from several of its words on: sums tell more than the size of one short frame.
+SHORT, STARTS = 512, 8
 
 
 def letters_of(text: str | None) -> str:
-    """Lower-cased words of letters with one blank between; empty without a letter."""
-    words = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    """Lower-cased words of letters with one blank between, a word that follows itself only once; empty without a letter."""
+    words = AGAIN.sub(r"\1", NOT_LETTERS.sub(" ", (text or "").lower())).strip()
     return words if any(map(str.isalpha, words)) else ""
 
 
+def parts_of(raw: bytes, block: int) -> list[bytes]:
+    """Blocks of a text to be encoded; of a short one, what follows each of its first few words."""
+    if len(raw) >= SHORT:
+        return [raw[i : i + block] for i in range(0, len(raw), block)]
+    words = raw.split(b" ")
+    return [b" ".join(words[i:]) for i in range(min(STARTS, len(words)))]
+
+
 def learn(docs: DataFrame, rows: int = 250, chars: int = 2000) -> dict[str, bytes]:
     """A raw-content dictionary for each language: the letters of a sample of its documents (doc_id, text, lang).
 
@@ -63,7 +74,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, bl
             raw = letters_of(text).encode()
             if not raw or not encoders:
                 return UNKNOWN, 0.0, False
-            parts = [raw[i : i + block] for i in range(0, len(raw), block)]
+            parts = parts_of(raw, block)
             sizes = sorted((sum(len(encode(p)) for p in parts), name) for encode, name in zip(encoders, names))
             saved = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
             return sizes[0][1], 0.5 + 0.5 * saved / (saved + 0.05), saved >= margin

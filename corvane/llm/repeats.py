@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import cut, mix, window_hashes, winnow, word_hashes
@@ -106,47 +106,61 @@ def merged(starts, ends) -> tuple[np.ndarray, np.ndarray]:
     return starts[first].astype(np.int32), reach[last].astype(np.int32)
 
 
-def repeated_starts(texts: DataFrame, kind: str, length: int, k: int, classes: Column, marks: Callable[[DataFrame], Column], open_when: Column, name: str) -> DataFrame:
+def repeated_starts(texts: DataFrame, kind: str, length: int, k: int, earlier: bool, name: str) -> DataFrame:
     """doc_id and start of repeated stretches that, with the known spans, cover all that is repeated.
 
-    classes: what a class must show to matter (n rows, least and greatest doc_id); marks: whether a row of a class is
-    to be removed; open_when: whether an anchor may have repeated stretches still (first: least doc_id of its class).
+    A stretch is repeated if it is in a document with a smaller doc_id (earlier), or else if it is anywhere else too.
+
+    The outermost stretches around an anchor say all the symbols its stretches are made of: its context. Rows with
+    equal contexts are decided by these two, all but the first of them when `earlier`, so one of them stands for all
+    in the comparison of inner stretches.
     """
+    context = ["h", "f_low", "f_high", "size"]
     parts = F.explode(F.arrays_zip("h", "low", "high", "f_low", "f_high", "known"))
-    probes = texts.select("doc_id", parts.alias("p")).select("doc_id", "p.*")
-    ends = probes.select("doc_id", "h", F.explode(F.when(F.col("low") == F.col("high"), F.array("f_low")).otherwise(F.array("f_low", "f_high"))).alias("f"))
-    agg = (F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    met = cut(ends.groupBy("h", "f").agg(*agg).where(classes), f"{name}-ends")
+    probes = texts.select("doc_id", parts.alias("p")).select("doc_id", "p.h", "p.low", (F.col("p.high") - F.col("p.low")).alias("size"), "p.f_low", "p.f_high", "p.known")
+    ends = probes.select("doc_id", "h", F.explode(F.when(F.col("size") == 0, F.array("f_low")).otherwise(F.array("f_low", "f_high"))).alias("f"))
+    met = ends.groupBy("h", "f").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    met = cut(met.where("first < last" if earlier else "n > 1").select("h", "f", "first"), f"{name}-ends")
 
     def judged(rows: DataFrame, by: str, flag: str) -> DataFrame:
         """A flag for each row: whether the stretch with fingerprint `by` is repeated."""
-        m = met.select(F.col("h"), F.col("f").alias(by), "n", "first")
-        return rows.join(m, ["h", by], "left").withColumn(flag, F.coalesce(marks(m), F.lit(False))).drop("n", "first")
+        m = met.select("h", F.col("f").alias(by), "first")
+        found = F.col("first") < F.col("doc_id") if earlier else F.col("first").isNotNull()
+        return rows.join(m, ["h", by], "left").withColumn(flag, F.coalesce(found, F.lit(False))).drop("first")
 
     tried = cut(judged(judged(probes, "f_low", "d_low"), "f_high", "d_high"), f"{name}-tried")
-    undecided = tried.where(~F.col("known") & ~(F.col("d_low") & F.col("d_high")))
-    first = tried.groupBy("h").agg(F.min("doc_id").alias("first"))
-    asked = undecided.select("doc_id", "h").join(first, "h").where(open_when).select("h").distinct()
-    answering = tried.join(asked, "h").groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "h")).alias("ranges"))
+    is_open = ~F.col("known") & ~(F.col("d_low") & F.col("d_high"))
+    alike = tried.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "low")).alias("one"), F.max(is_open).alias("open"))
+    alike = cut(alike.select(*context, "n", "one.doc_id", "one.low", "open"), f"{name}-contexts")
+    classes = alike.groupBy("h").agg(F.min("doc_id").alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("asks"), F.count("*").alias("kinds"))
+    asked = classes.where("kinds > 1 and asks is not null" + " and first < asks" * earlier).select("h")
+    answering = alike.join(asked, "h").groupBy("doc_id").agg(F.collect_list(F.struct("low", "size", "h", "n", "open")).alias("ranges"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for doc_id, body, ranges in zip(batch.doc_id, batch.body, batch.ranges):
                 prints = window_hashes(symbols(PIECES[kind](unpack.decompress(body))), length, SECOND_BASE).view(np.int64)
-                low = np.array([r["low"] for r in ranges])
-                sizes = np.array([r["high"] for r in ranges]) - low + 1
-                starts = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                of = np.repeat(np.array([r["h"] for r in ranges], np.int64), sizes)
-                yield pd.DataFrame({"doc_id": np.full(len(starts), doc_id), "start": starts.astype(np.int32), "h": of, "f": prints[starts]})
-
-    stretches = texts.select("doc_id", "body").join(answering, "doc_id").mapInPandas(run, "doc_id long, start int, h long, f long")
+                low, size = np.array([r["low"] for r in ranges]), np.array([r["size"] for r in ranges]) + 1
+                of = np.repeat(np.arange(len(low)), size)
+                step = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                pick = lambda c, kind: np.array([r[c] for r in ranges], kind)[of]  # noqa: E731, B023
+                rows = {"doc_id": np.full(len(of), doc_id), "low": low[of].astype(np.int32), "step": step.astype(np.int32), "h": pick("h", np.int64), "f": prints[low[of] + step], "n": pick("n", np.int64), "open": pick("open", bool)}
+                yield pd.DataFrame(rows)
+
+    stretches = texts.select("doc_id", "body").join(answering, "doc_id").mapInPandas(run, "doc_id long, low int, step int, h long, f long, n long, open boolean")
     stretches = cut(stretches, f"{name}-stretches")
-    again = stretches.groupBy("h", "f").agg(*agg).where(classes)
-    inner = stretches.join(again, ["h", "f"]).where(marks(again)).select("doc_id", "start")
+    again = stretches.groupBy("h", "f").agg(F.sum("n").alias("all"), F.min("doc_id").alias("first"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "f", "first")
+    inner = stretches.where("open").select("doc_id", "low", "step", "h", "f").join(again, ["h", "f"])
+    if earlier:
+        inner = inner.where("first < doc_id")
+    found = inner.groupBy("doc_id", "low").agg(F.collect_list("step").alias("steps"))
+    # a document can have the same context at several places
+    whose = alike.where("open").join(found, ["doc_id", "low"]).select(*context, "doc_id", "steps")
+    places = tried.where(is_open).select("doc_id", *context, "low").join(whose, ["doc_id", *context]).select("doc_id", "low", F.explode("steps").alias("step")).selectExpr("doc_id", "low + step as start")
     low = tried.where("d_low").select("doc_id", F.col("low").alias("start"))
-    high = tried.where("d_high").select("doc_id", F.col("high").alias("start"))
-    return low.unionByName(high).unionByName(inner)
+    high = tried.where("d_high").select("doc_id", (F.col("low") + F.col("size")).alias("start"))
+    return low.unionByName(high).unionByName(places)
 
 
 def kept(texts: DataFrame, base: DataFrame, starts: DataFrame, kind: str, length: int) -> DataFrame:

@@ -30,7 +30,7 @@ def find_repeats(docs: DataFrame, length: int = 50, seed: int = 25) -> DataFrame
     rows = repeats.anchor_rows(base)
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
     texts = repeats.follow_up(docs, rows.join(shared, "h").select("doc_id", "ord"), "words", length, seed, "substring")
-    starts = repeats.repeated_starts(texts, "words", length, seed, F.expr("first < last"), lambda m: F.col("first") < F.col("doc_id"), F.expr("first < doc_id"), "substring")
+    starts = repeats.repeated_starts(texts, "words", length, seed, True, "substring")
     out = repeats.kept(texts, base, starts, "words", length)
     return out.select("doc_id", F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
 

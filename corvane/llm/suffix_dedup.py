@@ -55,6 +55,6 @@ def find_repeats(docs: DataFrame, length: int = 400, sample: int = 272) -> DataF
     covered = double_ranks(sampled, length)
     spans = covered.groupBy("doc_id").agg(F.collect_list("at").alias("starts"), F.collect_list(F.col("at") + F.col("len")).alias("ends"))
     texts = repeats.follow_up(docs, sampled.select("doc_id", "ord"), "bytes", length, sample, "suffix", spans)
-    starts = repeats.repeated_starts(texts, "bytes", length, sample, F.expr("n > 1"), lambda m: F.col("n") > 1, F.lit(True), "suffix")
+    starts = repeats.repeated_starts(texts, "bytes", length, sample, False, "suffix")
     out = repeats.kept(texts, base, starts, "bytes", length)
     return out.select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.llm.components import connected_components
 from corvane.llm.shared import cut, mix, one_row_each, word_hashes
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 6
 SKETCH_BITS = 512
 
 
@@ -90,23 +91,25 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, pe
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.doc_id, "items": [shingles(t, width).view(np.int64) for t in batch.text]})
 
-    whole = cut(docs.join(named, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, items array<long>"), "near-sets")
+    # merged at every size: which texts are needed is known to no task beforehand
+    whole = cut(docs.join(named.hint("merge"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, items array<long>"), "near-sets")
     joined = likely.join(whole.select(F.col("doc_id").alias("b"), F.col("items").alias("i_b")), "b").join(whole.select(F.col("doc_id").alias("a"), F.col("items").alias("i_a")), "a")
     common = F.size(F.array_intersect("i_a", "i_b"))
     return cut(joined.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, seed: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, seed: int = 1, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept, one row for each document.
 
     Documents are linked if the Jaccard similarity of their word shingle sets is percent / 100 or more. Equal sets
     are one class by fingerprint, and only its least doc_id goes on. MinHash bands propose pairs: with the defaults a
-    pair at the threshold shares a band but for one time in 20 million. The samples, folded into Odd sketches, throw
-    out unlikely pairs, and the full sets confirm the rest.
+    pair at the threshold shares no band one time in two million. Sets whose sizes alone rule a link out aren't put
+    together. The samples, folded into Odd sketches, throw out unlikely pairs, and the full sets confirm the rest.
 
-    In a band's bucket each document is first compared with the least and the greatest one only. Their links are
-    joined to components, and then documents of one bucket that are still in different components are compared with
-    each other. So a bucket of near copies costs two pairs a document, and no pair that could join two components is
+    In a band's bucket nobody is compared with everybody. In each of a few rounds a document is compared with two
+    documents of other components at most, the least and the greatest that its buckets offer, and links join
+    components. Documents of one bucket that are still in different components after that are compared with each
+    other. So a bucket of near copies costs a few pairs a document, and no pair that could join two components is
     left out.
 
     A document without words (null, empty) has an empty set and no links. Rows without doc_id are left out; of rows
@@ -119,27 +122,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     member = cut(filled.select("doc_id", "f_1", "f_2", "n").join(classes, ["f_1", "f_2", "n"]).select("doc_id", "rep"), "near-classes")
     reps = cut(filled.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "keys", "sketch"), "near-reps")
 
-    posts = reps.select("doc_id", F.explode("keys").alias("key"))
-    ends = posts.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = cut(posts.join(ends, "key"), "near-buckets")
-    near = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
-    links = _verified(near.where("a < b").distinct(), reps, docs, width, percent, bands * rows, bits)
-
-    label = connected_components(links, "near-components")
-    labelled = shared.select("doc_id", "key", "low", "high").join(label.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = cut(labelled, "near-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c_1"), F.max("component").alias("c_2"), F.count("*").alias("n")).where("c_1 < c_2 and n > 2").select("key")
-    inside = labelled.join(mixed, "key")
-    left, right = (inside.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"), "low", "high") for x in "ab")
-    across = left.join(right.drop("low", "high"), "key").where("a < b and c_a <> c_b and a <> low and b <> high").select("a", "b").distinct()
-    more = _verified(cut(across, "near-across"), reps, docs, width, percent, bands * rows, bits)
-
-    groups = connected_components(links.unionByName(more), "near-components").withColumnsRenamed({"node": "rep"})
+    # sizes in steps of the threshold: sets that may be linked are in the same step or in neighbouring ones
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
+    stepped = reps.select("doc_id", "keys", F.explode(F.array(step, step + 1)).alias("step"))
+    posts = stepped.select("doc_id", F.explode(F.transform("keys", lambda k: F.xxhash64(k, "step"))).alias("key"))
+    several = posts.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    shared = cut(posts.join(several, "key"), "near-buckets")
+    verify = lambda pairs: _verified(pairs, reps, docs, width, percent, bands * rows, bits)
+
+    label, links, tried = shared.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).distinct(), None, None
+    for _ in range(rounds):
+        mixed = _mixed(shared, label)
+        offers = F.array(*(F.when(F.col(f"{x}.component") != F.col("component"), F.col(f"{x}.doc_id")) for x in ("low", "high")))
+        pairs = mixed.select("doc_id", F.explode(F.array_compact(offers)).alias("other")).groupBy("doc_id").agg(F.min("other").alias("x"), F.max("other").alias("y"))
+        pairs = pairs.select("doc_id", F.explode(F.array("x", "y")).alias("other")).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        pairs = cut(pairs, "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = verify(pairs) if links is None else links.unionByName(verify(pairs))
+        found = connected_components(links, "near-components")
+        label = cut(shared.select(F.col("doc_id").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "near-labels")
+
+    inside = _mixed(shared, label).select("key", "doc_id", "component")
+    left, right = (inside.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    across = left.join(right, "key").where("a < b and c_a <> c_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    groups = connected_components(links.unionByName(verify(cut(across, "near-across"))), "near-components").withColumnsRenamed({"node": "rep"})
     found = member.join(groups, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of buckets whose documents are in several components, with the least and greatest (component, doc_id)."""
+    labelled = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id")
+    ends = [f(F.struct("component", "doc_id")).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))]
+    several = labelled.groupBy("key").agg(*ends).where("low.component < high.component")
+    return cut(labelled.join(several, "key"), "near-mixed")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near-duplicates, the one with the least doc_id, and all its columns."""
     kept = near_duplicates(docs, **options).where("kept").select("doc_id")

@@ -11,7 +11,7 @@ NAME = r"^(?<model>[a-z]+\d+)_(?<arm>zero|full|audiolora_proj|audiolora|proj|tex
 
 def cell(value: Column, digits: int) -> Column:
     """A number as text; never 0 for what isn't there."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value.cast("double")), F.lit(MISSING))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double"))).otherwise(F.lit(MISSING))
 
 
 def parse_names(rows: DataFrame, name: str) -> DataFrame:

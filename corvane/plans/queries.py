@@ -197,21 +197,29 @@ def exact_dedup(spark, sf_dir):
     return dedup.first_of_each(docs, "key", "doc_id").select("doc_id")
 
 
-def grams_of_documents(spark, sf_dir):
-    key = text.dedup_key(F.coalesce("text", F.lit("")), ascii_only=True)
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.char_ngrams(key).alias("grams")).where("size(grams) > 0")
+TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 
 
-@query()
+def grams_of_titles(spark, sf_dir):
+    """Trigrams of page titles: texts of the length of a spoken sentence."""
+    key = text.dedup_key(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), ascii_only=True)
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.char_ngrams(key).alias("grams")).where("size(grams) > 0")
+
+
+@query(f"""with t as (select page_id as id, {KEY.replace("coalesce(text, '')", TITLE)} as t from pages), g as (select id, list_sort({GRAMS}) as g from t where t <> ''),
+f as (select *, min(id) over (partition by g) as first from g)
+select first as a, id as b, 1.0::double as similarity from f where id <> first
+union all select x.id, y.id, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 9) from f x join f y on x.id < y.id and x.id = x.first and y.id = y.first
+and least(len(x.g), len(y.g)) >= 0.9 * greatest(len(x.g), len(y.g)) where len(list_intersect(x.g, y.g)) >= 0.9 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))""")
 def near_dup_pairs(spark, sf_dir):
-    """Pairs of documents whose trigram sets are 0.9 alike; of documents with equal sets, pairs with the first of them."""
-    return dedup.near_pairs(grams_of_documents(spark, sf_dir), save)
+    """Pairs of titles whose trigram sets are 0.9 alike; of titles with equal sets, pairs with the first of them."""
+    return rounded(dedup.near_pairs(grams_of_titles(spark, sf_dir), save), "similarity")
 
 
 @query()
 def near_dup_greedy(spark, sf_dir):
     """What first-come, first-kept acceptance keeps."""
-    grams = save(grams_of_documents(spark, sf_dir), "greedy-grams")
+    grams = save(grams_of_titles(spark, sf_dir), "greedy-grams")
     return dedup.accept_greedily(grams, dedup.near_pairs(grams, save), save)
 
 
@@ -222,7 +230,7 @@ def script_profile(spark, sf_dir):
 
 @query("select 'c2a1a0f12d' as fingerprint")
 def config_fingerprint(spark, sf_dir):
-    fixed = {"strip_language_tag": True, "nfkc": True, "traditional_to_simplified": False, "normalize_numbers": False, "lowercase": True, "strip_punctuation": True, "strip_whitespace": True, "keep_digit_separators": True}
+    fixed = {"nfkc": True, "strip_punctuation": True, "lowercase": True, "remove_whitespace": True, "traditional_to_simplified": False, "normalize_numbers": False, "keep_digit_separators": True, "strip_language_tag": True}
     return spark.range(1).select(text.fingerprint(fixed).alias("fingerprint"))
 
 

@@ -17,10 +17,12 @@ def stream_of(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFra
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts and sums by kind in tumbling windows; rows that come later than the watermark allows are dropped by it."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 

@@ -37,8 +37,8 @@ NORMAL = f"regexp_extract_all({LOWER.format('coalesce(text, chr(32))')}, '[^\\x0
 OP10 = f"""with b as (select item_id, {NORMAL} as w from benchmark where item_id is not null),
 windows as (select distinct item_id, n, array_to_string(w[s : s + n - 1], ' ') as k from (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from b where len(w) > 0)),
 d as (select doc_id, {NORMAL} as w from documents where doc_id is not null),
-at as (select doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') as k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from windows) where len(w) >= n)),
-found as (select doc_id, item_id, s, n from at join windows using (n, k)),
+runs as (select doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') as k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from windows) where len(w) >= n)),
+found as (select doc_id, item_id, s, n from runs join windows using (n, k)),
 hit as (select doc_id, count(distinct i) as n_hit from (select doc_id, unnest(range(s, s + n)) as i from found) group by doc_id),
 items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated

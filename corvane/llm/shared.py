@@ -47,7 +47,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows carry whole texts here: batches of a thousand keep Python workers small, whatever the session's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -110,6 +119,7 @@ def one_row_each(docs: DataFrame, *columns: str) -> DataFrame:
 
     Ids are counted first, without the texts, so that only a table with repeated ids is shuffled.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", *columns).where("doc_id is not null")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         least = docs.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row"))
@@ -131,5 +141,6 @@ def with_computed(df: DataFrame, inputs: list[str], added: dict[str, tuple[str,
             arrays = [pa.array(values, kind) for values, (_, kind) in zip(out, added.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *added])
 
+    small_batches(df.sparkSession)
     schema = T.StructType(df.schema.fields + T.StructType.fromDDL(", ".join(f"{c} {kind}" for c, (kind, _) in added.items())).fields)
     return df.mapInArrow(run, schema)

@@ -94,8 +94,8 @@ def index_percentiles(rows: DataFrame, value: str, by: str, shares: dict[str, fl
     """
     from pyspark.sql.window import Window
 
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
-    upto = counted.withColumn("upto", F.sum("k").over(Window.partitionBy(by).orderBy(value))).withColumn("n", F.sum("k").over(Window.partitionBy(by)))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_k"))
+    upto = counted.withColumn("upto", F.sum("_k").over(Window.partitionBy(by).orderBy(value))).withColumn("n", F.sum("_k").over(Window.partitionBy(by)))
     at = lambda q: F.floor(F.lit(q) * F.col("n"))
-    picks = [F.max(F.when((F.col("upto") > at(q)) & (F.col("upto") - F.col("k") <= at(q)), F.col(value))).alias(name) for name, q in shares.items()]
-    return upto.groupBy(by).agg(F.max("n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("k")) / F.max("n")).alias("mean"), *picks)
+    picks = [F.max(F.when((F.col("upto") > at(q)) & (F.col("upto") - F.col("_k") <= at(q)), F.col(value))).alias(name) for name, q in shares.items()]
+    return upto.groupBy(by).agg(F.max("n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("_k")) / F.max("n")).alias("mean"), *picks)

@@ -12,11 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MANIFEST = T.StructType.fromDDL(
+KINDS = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
+
+
+def schema_of(columns: str) -> T.StructType:
+    """A schema from "name kind, name kind"; unlike DDL it needs no session, so that modules can be imported before one."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+MANIFEST = schema_of(
     "utt_id string, audio string, text string, speaker_id string, source string, tts_engine string, domain_category string, template_family string,"
     " duration double, condition string, snr double, sir double, script_id string, split string"
 )
-PREDICTION = T.StructType.fromDDL(
+PREDICTION = schema_of(
     "utt_id string, reference_raw string, hypothesis_raw string, reference_normalized string, hypothesis_normalized string, edit_distance int, reference_length int,"
     " hypothesis_length int, cer double, condition string, domain_category string, template_family string, speaker_id string, source string, duration double"
 )

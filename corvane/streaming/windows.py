@@ -11,8 +11,13 @@ from corvane.sources.tables import save
 
 
 def stream_of(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, in the schema that the files have."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+    """A folder of Parquet files, or one file, as a stream, in the schema that the files have."""
+    there = spark.read.parquet(path)
+    stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", files_at_once)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if any(f.rstrip("/").endswith(f"/{name}") for f in there.inputFiles()):  # a stream reads folders: this one's other files are left out
+        return stream.option("pathGlobFilter", name).parquet(folder)
+    return stream.parquet(path)
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:

@@ -554,3 +554,65 @@ def mu_law_codec(spark, sf_dir):
 def label_mask(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.col("turn").cast("int"))).alias("t"))
     return rows.select("conv_id", arrays.label_mask(F.col("t"), F.lit(2)).alias("labels"))
+
+
+# ---------------------------------------------------------------- totals, collisions, mixes and documents
+
+
+@query("""select coalesce(p_brand, 'TOTAL') as component, count(*) as n_parameters, cast(sum(p_size) as bigint) as total, round(100.0 * sum(p_size) / (select sum(p_size) from part), 6) as percent from part group by rollup (p_brand)""")
+def component_totals(spark, sf_dir):
+    """Totals of each component and of all, in one pass."""
+    rows = read(spark, sf_dir, "part").rollup("p_brand").agg(F.count("*").alias("n_parameters"), F.sum("p_size").cast("long").alias("total"))
+    whole = read(spark, sf_dir, "part").agg(F.sum("p_size").alias("whole"))  # one row
+    return rows.join(F.broadcast(whole)).select(F.coalesce("p_brand", F.lit("TOTAL")).alias("component"), "n_parameters", "total", F.round(100.0 * F.col("total") / F.col("whole"), 6).alias("percent"))
+
+
+@query("select split_part(p_name, ' ', 1) as leaf, count(distinct p_brand) as n_components from part group by 1 having count(distinct p_brand) > 1")
+def leaf_collisions(spark, sf_dir):
+    """Names that stand in more than one component."""
+    rows = read(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("leaf"), "p_brand")
+    return rows.groupBy("leaf").agg(F.count_distinct("p_brand").alias("n_components")).where("n_components > 1")
+
+
+@query("""with i as (select i, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch from range(32) t(i))
+select 'gender' as dimension, gender as value, count(*) as n from i group by 2 union all select 'age', age, count(*) from i group by 2 union all select 'pitch', pitch, count(*) from i group by 2""")
+def inventory_balance(spark, sf_dir):
+    return validate.counts_by(inventory_rows(spark), ["gender", "age", "pitch"])
+
+
+@query("""with p as (select case when u < 0.40 then 'clean' when u < 0.58 then 'noise' when u < 0.64 then 'reverb' when u < 0.70 then 'noise_reverb' when u < 0.85 then 'competing_speech' else 'codec' end as condition
+from (select cast(('0x' || substr(sha256(concat('42::', doc_id)), 1, 13)) as bigint) / 4503599627370496.0::double as u from documents)),
+w(condition, target) as (values ('clean', 0.40::double), ('noise', 0.18), ('reverb', 0.06), ('noise_reverb', 0.06), ('competing_speech', 0.15), ('codec', 0.15))
+select condition, target, count(p.condition) as n, round(count(p.condition) / (select count(*) from p), 9) as realised from w left join p using (condition) group by all""")
+def planned_mix(spark, sf_dir):
+    """Shares that conditions should have and have."""
+    counts = condition_plan(spark, sf_dir).groupBy("condition").agg(F.count("*").alias("n"))
+    target = spark.createDataFrame(list(augment.CONDITION_WEIGHTS.items()), "condition string, target double")
+    whole = read(spark, sf_dir, "documents").count()
+    return target.join(counts, "condition", "left").select("condition", "target", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / whole, 9).alias("realised"))
+
+
+@query("""with r as (select doc_id, row_number() over (order by n_chars, doc_id) - 1 as r, count(*) over () as n from documents) select doc_id, r as rank from r where r in (select cast(round_even(k * (n - 1) / 9.0, 0) as bigint) from range(10) t(k))""")
+def evenly_spaced(spark, sf_dir):
+    """Ten documents at evenly spaced ranks of length."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "n_chars").withColumn("one", F.lit(1).cast("long"))
+    ranked = sampling.prefix_sums(rows, "one", ["n_chars", "doc_id"])
+    n = rows.count()
+    wanted = sorted({round(k * (n - 1) / 9) for k in range(10)})
+    return ranked.where(F.col("before").isin(wanted)).select("doc_id", F.col("before").alias("rank"))
+
+
+@query(f"with {PAIRS} select 'overall' as part, '' as key, count(*) as n, cast(sum(distance) as bigint) as errors from scored where reference_length > 0 union all select 'by_role', role, count(*), cast(sum(distance) as bigint) from scored where reference_length > 0 group by role")
+def eval_document(spark, sf_dir):
+    """The parts of an evaluation's metrics document, in long form."""
+    kept = metrics.score(pairs(spark, sf_dir)).where("reference_length > 0")
+    each = lambda part, key: (F.lit(part).alias("part"), key.alias("key"))
+    sums = (F.count("*").alias("n"), F.sum("distance").alias("errors"))
+    overall = kept.groupBy(*each("overall", F.lit(""))).agg(*sums)
+    return overall.unionByName(kept.groupBy(*each("by_role", F.col("role"))).agg(*sums))
+
+
+@query("select conv_id, count(*) as n_turns, count(*) filter (role = 'user') as n_user, max(length(text)) as longest from conversations group by conv_id having count(*) filter (role = 'user') < count(*)")
+def conversation_profile(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.max(F.char_length("text")).cast("long").alias("longest"))
+    return rows.where("n_user < n_turns")

@@ -149,3 +149,14 @@ def test_files(spark, tmp_path):
     assert got["a.wav"].signal == pytest.approx([0, 0.5, -0.5], abs=1e-3) and got["b.wav"].error
     lines = sinks.sft_lines(spark.createDataFrame([("a", "x"), ("b", "language None<asr_text>y")], "audio string, text string")).collect()
     assert [r.text for r in lines] == ["language Chinese<asr_text>x", "language None<asr_text>y"]
+
+
+def test_corpus_from_templates(spark):
+    from corvane.operators import corpus
+
+    patterns = spark.createDataFrame([(1, "f1", "a", "the {x} meets the {y} today"), (2, "f2", "a", "fixed words only"), (3, "g1", "b", "where is {x} now please")], "pattern_id long, family_id string, category string, pattern string")
+    values = spark.createDataFrame([("x", i, w) for i, w in enumerate(["doctor", "nurse", "patient"])] + [("y", i, w) for i, w in enumerate(["engineer", "teacher"])], "slot string, position int, value string")
+    shares = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "category string, share double")
+    rows = corpus.generate(patterns, values, shares, 6, save).collect()
+    assert len({r.text for r in rows}) == len(rows) and all("{" not in r.text for r in rows)
+    assert {r.category for r in rows} == {"a", "b"} and sum(r.category == "b" for r in rows) == 3

@@ -29,8 +29,9 @@ def generate(patterns: DataFrame, slot_values: DataFrame, shares: DataFrame, tot
     rank = F.row_number().over(Window.partitionBy("family_id").orderBy("key", "pattern_id", "index"))
     first = dedup.first_of_each(made.withColumn("place", F.struct("pattern_id", "index")), "key", "place")
     chosen = first.withColumn("rank", rank).join(F.broadcast(quota), "family_id").where("rank <= quota")
-    numbered = save(chosen.select(F.xxhash64("key").alias("id"), "text", "category", "family_id"), "corpus-chosen")
-    grams = save(numbered.select("id", char_ngrams(dedup_key(F.col("text"))).alias("grams")), "corpus-grams")
+    # the normalized form has a Python function in it, which can't stand under the lambda of the grams
+    numbered = save(chosen.select(F.xxhash64("key").alias("id"), "text", "category", "family_id", dedup_key(F.col("text")).alias("form")), "corpus-chosen")
+    grams = save(numbered.select("id", char_ngrams(F.col("form")).alias("grams")), "corpus-grams")
     accepted = dedup.accept_greedily(grams, dedup.near_pairs(grams, save, threshold), save).where("accepted").select("id")
     kept = numbered.join(accepted, "id", "left_semi")
     return kept.select(F.concat(F.lit("SCR-"), "family_id", F.lit("-"), F.substring(F.sha1("text"), 1, 12)).alias("script_id"), "text", "category", "family_id", F.char_length("text").alias("n_chars"))

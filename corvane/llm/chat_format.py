@@ -39,22 +39,24 @@ def reply_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     score of their nodes (null scores count as 0), ties to the smaller leaf id; the first `keep` are chosen.
 
     Iterated self-joins double what is known: after round j each node knows its ancestor 2 ** j steps up and the sum
-    of scores in between, and at the end a chosen leaf's path grows from the ends in the same way. Rounds follow the
-    logarithm of the deepest tree, and joins are on single nodes, so that a huge tree is spread out like any rows.
+    of scores in between, and at the end a chosen leaf's path grows from the ends in the same way. A node that has
+    reached its root takes part in later rounds only as an ancestor. Rounds follow the logarithm of the deepest tree,
+    and joins are on single nodes, so that a huge tree is spread out like any rows.
     """
     spark = nodes.sparkSession
     here = nodes.select("tree_id", "id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum"))
     known = here.select(F.col("tree_id").alias("t_2"), F.col("id").alias("id_2"))
     step = here.join(known, F.expr("tree_id <=> t_2 and parent_id = id_2"), "left")
-    current = cut(step.select("tree_id", "id", F.col("id_2").alias("up"), "sum", F.lit(1).cast("long").alias("depth")), "chat-up-0")
-    jumps = [current]
-    while current.where("up is not null").limit(1).count() and len(jumps) <= MOST_ROUNDS:
-        above = current.select(F.col("tree_id").alias("t_2"), F.col("id").alias("id_2"), F.col("up").alias("up_2"), F.col("sum").alias("sum_2"), F.col("depth").alias("depth_2"))
-        joined = current.join(above, F.expr("tree_id <=> t_2 and up = id_2"), "left")
-        current = cut(joined.selectExpr("tree_id", "id", "up_2 as up", "sum + coalesce(sum_2, 0D) as sum", "depth + coalesce(depth_2, 0L) as depth"), f"chat-up-{len(jumps)}")
-        jumps.append(current)
+    jumps = [cut(step.select("tree_id", "id", F.col("id_2").alias("up"), "sum", F.lit(1).cast("long").alias("depth")), "chat-up-0")]
+    settled = jumps[0].where("up is null")
+    while jumps[-1].where("up is not null").limit(1).count() and len(jumps) <= MOST_ROUNDS:
+        going = jumps[-1].where("up is not null")
+        above = settled.unionByName(going).select(F.col("tree_id").alias("t_2"), F.col("id").alias("id_2"), F.col("up").alias("up_2"), F.col("sum").alias("sum_2"), F.col("depth").alias("depth_2"))
+        joined = going.join(above, F.expr("tree_id <=> t_2 and up = id_2"))
+        jumps.append(cut(joined.selectExpr("tree_id", "id", "up_2 as up", "sum + sum_2 as sum", "depth + depth_2 as depth"), f"chat-up-{len(jumps)}"))
+        settled = settled.unionByName(jumps[-1].where("up is null"))
     parents = jumps[0].where("up is not null").select(F.col("tree_id").alias("t_2"), F.col("up").alias("id_2")).distinct()
-    leaves = current.where("up is null").join(parents, F.expr("tree_id <=> t_2 and id = id_2"), "left_anti")
+    leaves = settled.join(parents, F.expr("tree_id <=> t_2 and id = id_2"), "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc(F.col("sum") / F.col("depth")), "id")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     paths = cut(chosen.select("tree_id", "rank", F.col("id").alias("path_id"), "id", F.lit(0).cast("long").alias("above"), F.col("depth").alias("length")), "chat-paths")

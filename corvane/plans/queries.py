@@ -42,14 +42,12 @@ LEXICON_SQL = "lexicon(term, category) as (values " + ", ".join(f"('{t}', '{c}')
 
 # ---------------------------------------------------------------- error rates
 
-SEGMENT = 64  # an edit distance takes the product of two lengths: a pair is compared over the first 64 characters of each turn
-
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns as reference and hypothesis, in ASCII."""
+    """Consecutive turns as reference and hypothesis, whole and in ASCII; dealt out anew, since an edit distance takes the product of two lengths."""
     turn = Window.partitionBy("conv_id").orderBy("turn")
-    said = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(turn)).where("before is not null")
-    form = lambda c: text.normalize(text.ascii_fold(F.substring(c, 1, SEGMENT)), ascii_only=True, keep_digit_separators=False)
+    said = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(turn)).where("before is not null").repartition("conv_id", "turn")
+    form = lambda c: text.normalize(text.ascii_fold(F.col(c)), ascii_only=True, keep_digit_separators=False)
     return said.select("conv_id", "turn", "role", form("before").alias("reference"), form("text").alias("hypothesis"))
 
 
@@ -57,7 +55,7 @@ PUNCT = text.ASCII_PUNCTUATION.replace("'", "''")
 
 
 def form_sql(column: str) -> str:
-    folded = f"regexp_replace(substr({column}, 1, {SEGMENT}), '[^\\x00-\\x7F]', '', 'g')"
+    folded = f"regexp_replace({column}, '[^\\x00-\\x7F]', '', 'g')"
     untagged = f"regexp_replace({folded}, '(?i)^\\s*language\\s+\\w+\\s*<asr_text>\\s*', '')"
     return f"regexp_replace(translate(lower({untagged}), '{PUNCT}', ''), '\\s+', '', 'g')"
 

@@ -214,11 +214,25 @@ def near_dup_pairs(spark, sf_dir):
     return rounded(dedup.near_pairs(grams_of_titles(spark, sf_dir), save), "similarity")
 
 
+def grams_of_documents(spark, sf_dir):
+    """Trigrams of the whole texts of documents, normalized."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"  # rows carry whole texts and their grams
+    spark.conf.set(batch, str(min(int(spark.conf.get(batch)) or 500, 500)))
+    key = text.dedup_key(F.coalesce("text", F.lit("")))
+    docs = read(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), key.alias("key"))
+    return docs.select("id", text.char_ngrams(F.col("key")).alias("grams")).where("size(grams) > 0")
+
+
+@query()
+def near_dup_document_pairs(spark, sf_dir):
+    """near_dup_pairs over the whole texts of documents."""
+    return rounded(dedup.near_pairs(save(grams_of_documents(spark, sf_dir), "document-grams"), save), "similarity")
+
+
 @query()
 def near_dup_greedy(spark, sf_dir):
-    """What first-come, first-kept acceptance keeps."""
-    grams = save(grams_of_titles(spark, sf_dir), "greedy-grams")
-    return dedup.accept_greedily(grams, dedup.near_pairs(grams, save), save)
+    """What first-come, first-kept acceptance keeps of the whole texts of documents."""
+    return dedup.accept_texts(save(grams_of_documents(spark, sf_dir), "greedy-grams"), save)
 
 
 @query("""select doc_id, len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) as cjk, len(regexp_extract_all(t, '[A-Za-z]')) as latin, len(regexp_extract_all(t, '[0-9]')) as digit from (select doc_id, coalesce(text, '') as t from documents)""")

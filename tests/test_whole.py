@@ -1,9 +1,12 @@
 """Queries over small tables whose rows differ only where a shortened or narrowed job wouldn't look; against plain versions."""
 
 import random
+import re
 
 from corvane.functions.text import count_edits, count_edits_together
+from corvane.operators.dedup import accept_texts
 from corvane.plans.queries import QUERIES, SQL
+from corvane.sources.tables import save
 from tests.compare import connect, differences
 
 
@@ -31,3 +34,33 @@ def test_turns_are_scored_whole(spark, tmp_path):
     con = connect(str(tmp_path))
     for name in ("grouped_cer", "cer_grouping_sets", "paired_disagreements", "paired_bootstrap_lcg", "term_category_recall", "eval_document"):
         assert differences(QUERIES[name](spark, str(tmp_path)), con, SQL[name]) == ""
+
+
+def test_near_copies_of_whole_documents(spark, tmp_path):
+    """Near copies among documents, as going through them one by one finds them; pages don't matter."""
+    draw = random.Random(2)
+    words = lambda n: " ".join("".join(draw.choice("abcdeéz") for _ in range(5)) for _ in range(n))
+    base, other = words(200), words(300)
+    changed = lambda t, *at: "".join("#" if i in at else c for i, c in enumerate(t))
+    # 3 is near 1, and 5 is 3 again: also near 1. 6 is near 3 and too far from 1.
+    texts = [base, other, changed(base, 400), words(5), changed(base, 400), changed(base, 400, *range(0, 450, 25)), other.upper() + "!", "", None]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    keys = {i: re.sub(r"\s+", "", re.sub("[!]", "", t.lower())) for i, t in enumerate(texts, 1) if t}
+    sets = {i: {k[j : j + 3] for j in range(len(k) - 2)} for i, k in keys.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])
+    kept: set[int] = set()
+    for i in sets:
+        kept |= {i} if not any(near(k, i) for k in kept) else set()
+    got = {r.id: r.accepted for r in QUERIES["near_dup_greedy"](spark, str(tmp_path)).collect()}
+    assert got == {i: i in kept for i in sets}
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {(a, b) for a in sets for b in sets if a < b and near(a, b) and first[a] == a and first[b] in (a, b)}
+    assert {(r.a, r.b) for r in QUERIES["near_dup_document_pairs"](spark, str(tmp_path)).collect()} == want
+
+
+def test_copies_of_what_was_rejected(spark):
+    """2 is near 1, and 3 has the grams of 2: a pair with the first of its set only would have let it in."""
+    base = [f"g{i}" for i in range(100)]
+    rows = [(1, base), (2, base[:-1]), (3, base[:-1]), (4, ["z"])]
+    got = {r.id for r in accept_texts(spark.createDataFrame(rows, "id long, grams array<string>"), save).where("accepted").collect()}
+    assert got == {1, 4}

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,3 +151,41 @@ def label_mask(ids: Column, supervised: Column, ignore: int = -100) -> Column:
     lead = F.size(ids) - F.size(F.filter(ids, lambda x: x.isNotNull()))
     end = F.when(F.element_at(ids, -1).isNull(), kept).otherwise(kept + lead)
     return F.transform(ids, lambda x, i: F.when((i < end) & (i >= end - supervised) & x.isNotNull(), x).otherwise(F.lit(ignore)))
+
+
+def separability(rows: DataFrame, key: str, label: str, vector: str, blocks: int = 16) -> DataFrame:
+    """label (null: overall), n, mean_within, min_within, mean_between, max_between, separability (within less between).
+
+    Means over pairs come from sums of unit vectors. The least and greatest take every pair: blocks of rows meet blocks
+    of rows, so that no label is a key, and a row of a block is compared with its matrix. Zero vectors aren't compared.
+    """
+    known = rows.where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), doubles(F.col(vector)).alias("v")).where(dot(F.col("v"), F.col("v")) > 0)
+    units = known.withColumn("v", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v"))))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    sums = units.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("d"), F.count("*").alias("n"))
+    own = sums.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("d") * F.col("d")).alias("q"))
+    whole = sums.groupBy("i").agg(F.sum("d").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("t"))
+
+    def extremes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: dict[tuple[str, bool], float] = {}
+        if len(left) and len(right):
+            b, ids, labels = np.stack(right.v.to_list()), right.id.to_numpy(), right.label.to_numpy()
+            for i, name, v in zip(left.id, left.label, left.v):
+                cosines, same = b @ v, labels == name
+                within = cosines[same & (ids > i)]
+                if len(within):
+                    found[name, True] = min(found.get((name, True), 2.0), within.min())
+                if not same.all():
+                    found[name, False] = max(found.get((name, False), -2.0), cosines[~same].max())
+        return pd.DataFrame([(n, w, c) for (n, w), c in found.items()], columns=["label", "within", "cosine"])
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sides = [units.withColumn("l", F.col("block")).withColumn("r", each), units.withColumn("r", F.col("block")).withColumn("l", each)]
+    met = sides[0].groupBy("l", "r").cogroup(sides[1].groupBy("l", "r")).applyInPandas(extremes, "label string, within boolean, cosine double")
+    ends = met.groupBy("label").agg(F.min(F.when(F.col("within"), F.col("cosine"))).alias("min_within"), F.max(F.when(~F.col("within"), F.col("cosine"))).alias("max_between"))
+    joined = own.join(ends, "label", "left")
+    pairs = lambda n: F.when(n > 0, n)
+    total = joined.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum(F.col("n") * (F.col("n") - 1)).alias("w"), F.sum(F.col("n") * F.col("n")).alias("s"), F.min("min_within").alias("min_within"), F.max("max_between").alias("max_between")).crossJoin(whole)
+    overall = total.select(F.lit(None).cast("string").alias("label"), "n", ((F.col("q") - F.col("n")) / pairs(F.col("w"))).alias("mean_within"), "min_within", ((F.col("t") - F.col("q")) / pairs(F.col("n") * F.col("n") - F.col("s"))).alias("mean_between"), "max_between")
+    none = F.lit(None).cast("double")
+    labels = joined.select("label", "n", ((F.col("q") - F.col("n")) / pairs(F.col("n") * (F.col("n") - 1))).alias("mean_within"), "min_within", none.alias("mean_between"), "max_between")
+    return overall.unionByName(labels).withColumn("separability", F.col("mean_within") - F.col("mean_between"))

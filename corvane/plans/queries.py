@@ -510,6 +510,12 @@ def identity_cohesion(spark, sf_dir):
     return out.select("label", "n", F.round((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_within"))
 
 
+@query()
+def identity_separability(spark, sf_dir):
+    """Cosines within and between labels: for each label the mean and least within; overall also the mean and greatest between, and within less between."""
+    return rounded(arrays.separability(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"), "mean_within", "min_within", "mean_between", "max_between", "separability")
+
+
 @query(f"""with q as (select vec_id, {V} as e from embeddings where vec_id % 100 = 0), c as (select vec_id, {V} as e from embeddings)
 select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) as cosine from q, c where q.vec_id <> c.vec_id and list_cosine_similarity(q.e, c.e) >= 0.3""")
 def cosine_pairs(spark, sf_dir):

@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from corvane.functions.text import count_edits, count_edits_together
 from corvane.operators.dedup import accept_texts
 from corvane.plans.queries import QUERIES, SQL
@@ -64,3 +67,20 @@ def test_copies_of_what_was_rejected(spark):
     rows = [(1, base), (2, base[:-1]), (3, base[:-1]), (4, ["z"])]
     got = {r.id for r in accept_texts(spark.createDataFrame(rows, "id long, grams array<string>"), save).where("accepted").collect()}
     assert got == {1, 4}
+
+
+def test_separability(spark, tmp_path):
+    """All of AG17 against every pair, one by one."""
+    draw = np.random.default_rng(3)
+    rows = [(i, "abc"[i % 3] if i < 30 else "d", [float(x) for x in draw.normal(size=5) + (i % 3)]) for i in range(31)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = [np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for _, _, v in rows]
+    cosines = [(rows[i][1], rows[j][1], float(unit[i] @ unit[j])) for i in range(31) for j in range(i)]
+    got = {r.label: r for r in QUERIES["identity_separability"](spark, str(tmp_path)).collect()}
+    within, between = [c for a, b, c in cosines if a == b], [c for a, b, c in cosines if a != b]
+    want = (np.mean(within), min(within), np.mean(between), max(between), np.mean(within) - np.mean(between))
+    assert tuple(got[None])[2:] == pytest.approx(want, abs=1e-8) and set(got) == {None, *"abcd"}
+    for name in "abc":
+        own = [c for a, b, c in cosines if a == b == name]
+        assert (got[name].n, got[name].mean_within, got[name].min_within) == pytest.approx((10, np.mean(own), min(own)), abs=1e-8)
+    assert got["d"].mean_within is None and got["d"].min_within is None

@@ -84,3 +84,11 @@ def test_separability(spark, tmp_path):
         own = [c for a, b, c in cosines if a == b == name]
         assert (got[name].n, got[name].mean_within, got[name].min_within) == pytest.approx((10, np.mean(own), min(own)), abs=1e-8)
     assert got["d"].mean_within is None and got["d"].min_within is None
+
+
+def test_large_order_keys(spark, tmp_path):
+    """Keys of 10 ** 9 and more are decoded as well."""
+    keys = [5, 10**9, 6 * 10**12 + 104]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.digits for r in QUERIES["mixed_radix_decode"](spark, str(tmp_path)).collect()}
+    assert got == {k: [k // 35 % 3, k // 7 % 5, k % 7] for k in keys}

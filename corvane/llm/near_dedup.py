@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.shared import cut, mix, one_row_each, word_hashes
+from corvane.llm.shared import cut, forget, mix, one_row_each, with_row_ids, word_hashes
 
 BANDS, ROWS = 48, 6
 SKETCH_BITS = 512
@@ -76,6 +75,17 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int, se
     return docs.mapInPandas(run, "doc_id long, n long, f_1 long, f_2 long, keys array<long>, sketch array<long>")
 
 
+def _sets(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """doc_id and items (shingle set) of the documents that are named."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch.doc_id, "items": [shingles(t, width).view(np.int64) for t in batch.text]})
+
+    # merged at every size: which texts are needed is known to no task beforehand
+    return cut(docs.join(named.hint("merge"), "doc_id", "left_semi").mapInPandas(run, "doc_id long, items array<long>"), "near-sets")
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int, samples: int, bits: int) -> DataFrame:
     """Those of pairs(a, b) whose sets have 100 * intersection >= percent * union."""
     side = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -86,16 +96,47 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, pe
     share = F.lit(1.0) + bits / (4.0 * samples) * F.log(F.greatest(F.lit(1e-9), 1.0 - 2.0 * odd / bits))
     likely = cut(both.where(share >= percent / 100 - 0.25).select("a", "b", "n_a", "n_b"), "near-likely")
     named = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "items": [shingles(t, width).view(np.int64) for t in batch.text]})
-
-    # merged at every size: which texts are needed is known to no task beforehand
-    whole = cut(docs.join(named.hint("merge"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, items array<long>"), "near-sets")
+    whole = _sets(docs, named, width)
     joined = likely.join(whole.select(F.col("doc_id").alias("b"), F.col("items").alias("i_b")), "b").join(whole.select(F.col("doc_id").alias("a"), F.col("items").alias("i_a")), "a")
     common = F.size(F.array_intersect("i_a", "i_b"))
-    return cut(joined.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "near-links")
+    links = cut(joined.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "near-links")
+    forget(docs.sparkSession, likely, whole)
+    return links
+
+
+def _prefix_pairs(docs: DataFrame, residue: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components that can be linked, by the prefix filter; it leaves out no link.
+
+    residue: doc_id, component. Two sets that have `need` shingles in common, of n in one of them, have one among the
+    first n - need + 1 of it too, in any order that holds for all. The order is by the number of documents, rare ones
+    first, and ahead of all come the shingles that only one component has: they can be in no pair. Near copies that
+    are too far apart for a link differ in such shingles, fill their prefixes with them and meet nobody, however many
+    they are. The join keeps rows only if both places are inside the prefixes for these very two sizes.
+    """
+    sets = _sets(docs, residue, width)
+    rows = sets.join(residue, "doc_id").select("doc_id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    common = rows.groupBy("item").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("item", "df")
+    ordered = rows.join(common, "item").groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items"))
+    own = F.col("n") - F.size("items")
+    longest = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1
+    first = F.posexplode(F.slice("items", F.lit(1), F.greatest(F.lit(0), longest - own)))
+    prefix = ordered.select("doc_id", "component", "n", own.alias("own"), first.alias("at", "i")).select("doc_id", "component", "n", (F.col("own") + F.col("at")).alias("at"), F.col("i.item").alias("item"))
+    prefix = cut(prefix, "near-prefixes")
+    x, y = (prefix.select("item", F.col("doc_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("component", "n", "at"))) for s in "xy")
+    need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent) - 1e-9)
+    larger = (F.col("n_x") > F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))
+    inside = (F.col("at_x") <= F.col("n_x") - need) & (F.col("at_y") <= F.col("n_y") - need)
+    meets = (x.item == y.item) & larger & (F.col("component_x") != F.col("component_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")) & inside
+    pairs = cut(x.join(y, meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-across")
+    forget(docs.sparkSession, sets, prefix)
+    return pairs
+
+
+def _ends(labelled: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, component) of buckets whose documents are in several components, with the least and greatest of these."""
+    ends = [f(F.struct("component", "doc_id")).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))]
+    several = labelled.groupBy("key").agg(*ends).where("low.component < high.component")
+    return cut(labelled.join(several, "key"), "near-buckets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, seed: int = 1, rounds: int = 2) -> DataFrame:
@@ -103,63 +144,57 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     Documents are linked if the Jaccard similarity of their word shingle sets is percent / 100 or more. Equal sets
     are one class by fingerprint, and only its least doc_id goes on. MinHash bands propose pairs: with the defaults a
-    pair at the threshold shares no band one time in two million. Sets whose sizes alone rule a link out aren't put
-    together. The samples, folded into Odd sketches, throw out unlikely pairs, and the full sets confirm the rest.
+    pair at the threshold shares no band one time in two million. The samples, folded into Odd sketches, throw out
+    unlikely pairs, and the full sets confirm the rest.
 
     In a band's bucket nobody is compared with everybody. In each of a few rounds a document is compared with two
     documents of other components at most, the least and the greatest that its buckets offer, and links join
-    components. Documents of one bucket that are still in different components after that are compared with each
-    other. So a bucket of near copies costs a few pairs a document, and no pair that could join two components is
-    left out.
+    components; only buckets that still hold several components go on. Documents left in such buckets are put
+    together by the prefix filter over their full sets, so that no pair that could join two components is left out.
 
     A document without words (null, empty) has an empty set and no links. Rows without doc_id are left out; of rows
     that share one the one with the least text counts. Other columns are ignored.
     """
+    spark = docs.sparkSession
     docs = one_row_each(docs, "text")
     sigs = cut(signatures(docs, width, bands, rows, bits, seed), "near-signatures")
-    filled = sigs.where("n > 0")
-    classes = filled.groupBy("f_1", "f_2", "n").agg(F.min("doc_id").alias("rep"))
-    member = cut(filled.select("doc_id", "f_1", "f_2", "n").join(classes, ["f_1", "f_2", "n"]).select("doc_id", "rep"), "near-classes")
-    reps = cut(filled.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "keys", "sketch"), "near-reps")
-
-    # sizes in steps of the threshold: sets that may be linked are in the same step or in neighbouring ones
-    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
-    stepped = reps.select("doc_id", "keys", F.explode(F.array(step, step + 1)).alias("step"))
-    posts = stepped.select("doc_id", F.explode(F.transform("keys", lambda k: F.xxhash64(k, "step"))).alias("key"))
-    several = posts.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    shared = cut(posts.join(several, "key"), "near-buckets")
-    verify = lambda pairs: _verified(pairs, reps, docs, width, percent, bands * rows, bits)
-
-    label, links, tried = shared.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).distinct(), None, None
+    sizes, filled = cut(sigs.select("doc_id", "n"), "near-sizes"), sigs.where("n > 0")
+    # classes of several documents are written first: a class of any size can then be split in the join
+    twice = cut(filled.groupBy("f_1", "f_2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size"), "near-classes")
+    copies = cut(filled.select("doc_id", "f_1", "f_2", "n").join(twice, ["f_1", "f_2", "n"]).where("doc_id <> rep").select("doc_id", "rep"), "near-copies")
+    reps = cut(filled.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n", "keys", "sketch"), "near-reps")
+    forget(spark, sigs, twice)
+
+    buckets = _ends(reps.select(F.explode("keys").alias("key"), "doc_id", F.col("doc_id").alias("component")))
+    links = tried = cut(spark.createDataFrame([], "a long, b long"), "near-pairs")
     for _ in range(rounds):
-        mixed = _mixed(shared, label)
         offers = F.array(*(F.when(F.col(f"{x}.component") != F.col("component"), F.col(f"{x}.doc_id")) for x in ("low", "high")))
-        pairs = mixed.select("doc_id", F.explode(F.array_compact(offers)).alias("other")).groupBy("doc_id").agg(F.min("other").alias("x"), F.max("other").alias("y"))
+        pairs = buckets.select("doc_id", F.explode(F.array_compact(offers)).alias("other")).groupBy("doc_id").agg(F.min("other").alias("x"), F.max("other").alias("y"))
         pairs = pairs.select("doc_id", F.explode(F.array("x", "y")).alias("other")).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
         pairs = cut(pairs, "near-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = verify(pairs) if links is None else links.unionByName(verify(pairs))
-        found = connected_components(links, "near-components")
-        label = cut(shared.select(F.col("doc_id").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "near-labels")
-
-    inside = _mixed(shared, label).select("key", "doc_id", "component")
-    left, right = (inside.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    across = left.join(right, "key").where("a < b and c_a <> c_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    groups = connected_components(links.unionByName(verify(cut(across, "near-across"))), "near-components").withColumnsRenamed({"node": "rep"})
-    found = member.join(groups, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(_verified(pairs, reps, docs, width, percent, bands * rows, bits))
+        label = connected_components(links, "near-components").withColumnsRenamed({"node": "doc_id", "component": "_found"})
+        before = buckets
+        buckets = _ends(before.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("_found", "doc_id").alias("component")))
+        forget(spark, before)
+
+    residue = cut(buckets.select("doc_id", "component").distinct(), "near-residue")
+    across = _prefix_pairs(docs, residue, width, percent).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(across, reps, docs, width, percent, bands * rows, bits))
+    groups = connected_components(links, "near-components")
+    found = copies.unionByName(groups.select(F.col("node").alias("doc_id"), F.col("node").alias("rep"))).join(groups, F.col("rep") == F.col("node"), "left")
+    found = found.select("doc_id", F.coalesce("component", "rep").alias("component"))
+    out = sizes.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of buckets whose documents are in several components, with the least and greatest (component, doc_id)."""
-    labelled = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id")
-    ends = [f(F.struct("component", "doc_id")).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))]
-    several = labelled.groupBy("key").agg(*ends).where("low.component < high.component")
-    return cut(labelled.join(several, "key"), "near-mixed")
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one with the least doc_id, and all its columns."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """docs with one document of each group of near-duplicates, the one with the least doc_id, and all its columns.
+
+    Rows without doc_id and rows that share one are documents of their own; see with_row_ids.
+    """
+    rows = with_row_ids(docs)
+    out = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
+    gone = out.where("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only in a local session that sets none, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
     return _own_dir[0]
@@ -127,6 +130,26 @@ def one_row_each(docs: DataFrame, *columns: str) -> DataFrame:
     return docs
 
 
+def with_row_ids(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of its own for each row: doc_id where that is there and not repeated.
+
+    Rows without doc_id and rows that share one get numbers after all others, in the order of doc_id and text, so
+    that each is a document of its own. Only a table that has such rows is written anew.
+    """
+    small_batches(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    repeated = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_odd"))
+    if not repeated.limit(1).count():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    repeated = cut(repeated, "repeated-ids")
+    marked = docs.join(repeated, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    after = (ids.agg(F.max("doc_id")).first()[0] or 0) + 1
+    odd = marked.where("_odd").drop("_odd").withColumn("_place", F.monotonically_increasing_id())
+    odd = odd.repartitionByRange("doc_id", "text", "_place").sortWithinPartitions("doc_id", "text", "_place").drop("_place")
+    odd = odd.withColumn("_row", F.monotonically_increasing_id() + after)
+    return cut(marked.where("_odd is null").drop("_odd").withColumn("_row", F.col("doc_id").cast("long")).unionByName(odd), "row-ids")
+
+
 def with_computed(df: DataFrame, inputs: list[str], added: dict[str, tuple[str, pa.DataType]], start) -> DataFrame:
     """df with more columns, made in Arrow batches; its own columns pass untouched, whatever their types and nulls.
 

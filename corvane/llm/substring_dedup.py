@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import repeats
-from corvane.llm.shared import one_row_each
+from corvane.llm.shared import one_row_each, with_row_ids
 
 
 def find_repeats(docs: DataFrame, length: int = 50, seed: int = 25) -> DataFrame:
@@ -38,16 +38,19 @@ def find_repeats(docs: DataFrame, length: int = 50, seed: int = 25) -> DataFrame
 def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 25) -> DataFrame:
     """docs without repeated passages: changed texts are their kept words joined by one space, with n_chars to match.
 
-    Documents of which nothing is left go; all others stay, in their own columns.
+    Documents of which nothing is left go; all others stay, in their own columns. Rows without doc_id and rows that
+    share one are documents of their own; see with_row_ids.
     """
 
     def unpacked(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "_kept": [unpack.decompress(x).decode() for x in batch.kept]})
+            yield pd.DataFrame({"_row": batch.doc_id, "_kept": [unpack.decompress(x).decode() for x in batch.kept]})
 
-    changed = find_repeats(docs, length, seed).where("n_removed > 0").select("doc_id", "kept").mapInPandas(unpacked, "doc_id long, _kept string")
-    out = docs.join(changed, "doc_id", "left").where("_kept is null or _kept <> ''")
+    rows = with_row_ids(docs)
+    found = find_repeats(rows.select(F.col("_row").alias("doc_id"), "text"), length, seed)
+    changed = found.where("n_removed > 0").select("doc_id", "kept").mapInPandas(unpacked, "_row long, _kept string")
+    out = rows.join(changed, "_row", "left").where("_kept is null or _kept <> ''")
     values = {"text": F.coalesce("_kept", "text")}
     if "n_chars" in docs.columns:
         values["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

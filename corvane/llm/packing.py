@@ -12,19 +12,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import cut, one_row_each
+from corvane.llm.shared import cut, with_row_ids
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of a shard, islands that evolve packings of the same shard, and individuals and generations of an island.
-SHARD, ISLANDS, POPULATION, GENERATIONS = 8192, 2, 6, 12
+#: Pieces of a shard, islands that evolve packings of the same shard, and individuals and generations of an
+#: island, and the emptiest bins that a crossover dissolves at most.
+SHARD, ISLANDS, POPULATION, GENERATIONS, DISSOLVED = 8192, 2, 8, 80, 6
 SEQUENCES_A_SHARD = 1 << 24
 
 # What the vocabulary's own pre-tokenizer splits on, for lower-cased text in Latin letters; see encoder().
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 CONTROL_SPACES = re.compile("[\x1c-\x1f]")
-KEPT_WORDS = 1_500_000
+#: Words whose ids a worker keeps; about 30 MB.
+KEPT_WORDS = 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -81,22 +83,22 @@ def encoder(path: str) -> _Encoder:
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids): each document's ids and END_ID, cut only if over capacity."""
+    """doc_id, name, piece, start, length, ids_crc32 (and ids) for docs (doc_id, name, text): each document's ids and END_ID, cut only if over capacity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text):
+            for doc_id, name, text in zip(batch.doc_id, batch.name, batch.text):
                 ids = encode(text or "") + END_ID.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
+                    row = (doc_id, name, piece, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids)])
+            yield pd.DataFrame(rows, columns=["doc_id", "name", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids)])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id long, name string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", F.col("name").cast("string"), "text").mapInPandas(run, schema)
 
 
 def insert(order: np.ndarray, lengths: np.ndarray, bins: np.ndarray, rooms: list[int], capacity: int) -> None:
@@ -141,7 +143,8 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int) -> np.ndarra
 def crossover(one: np.ndarray, other: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """Injects whole well-filled bins of `other` into `one`.
 
-    Bins of `one` that share items with them go, and what else those held is put back by best fit, longest first.
+    Bins of `one` that share items with them go, so that no item is there twice, and so do a few of its emptiest ones;
+    what those held beside is put back by best fit, longest first.
     """
     fill = np.bincount(other, lengths)
     well = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 2)]
@@ -149,9 +152,10 @@ def crossover(one: np.ndarray, other: np.ndarray, lengths: np.ndarray, capacity:
     injected = np.isin(other, taken)
     gone = np.zeros(one.max() + 1, bool)
     gone[one[injected]] = True
+    gone[np.argsort(np.bincount(one, lengths), kind="stable")[: rng.integers(1, DISSOLVED + 1)]] = True
     loose = np.flatnonzero(gone[one] & ~injected)
     child = np.empty_like(one)
-    stays = ~gone[one]
+    stays = ~gone[one] & ~injected
     _, child[stays] = np.unique(one[stays], return_inverse=True)
     n = child[stays].max() + 1 if stays.any() else 0
     _, child[injected] = np.unique(other[injected], return_inverse=True)
@@ -162,27 +166,26 @@ def crossover(one: np.ndarray, other: np.ndarray, lengths: np.ndarray, capacity:
     return child
 
 
-def evolve(lengths: np.ndarray, started: list[np.ndarray], capacity: int, seed: int) -> np.ndarray:
-    """The fittest packing after some generations; at once if there are as few bins as the total length allows."""
+def evolve(lengths: np.ndarray, arrived: list[np.ndarray], capacity: int, seed: int) -> tuple[np.ndarray, int]:
+    """The fittest packing, and the number of generations that it took.
+
+    Arrived packings and others by best fit in random orders, with no regard for length, make the first generation.
+    In each a child of two of them replaces the least fit; the fittest stays. It ends early only when there are as few
+    bins as the total length allows.
+    """
     rng, least = np.random.default_rng(seed), -(-int(lengths.sum()) // capacity)
-    down = np.argsort(-lengths, kind="stable")
-    people = [*started] or [best_fit(lengths, down, capacity)]
-    scored = sorted(((fitness(lengths, p), i) for i, p in enumerate(people)))
-    if scored[0][0][0] <= least:
-        return people[scored[0][1]]
-    while len(people) < POPULATION:  # longest first, with some disorder
-        people.append(best_fit(lengths, np.argsort(-lengths * rng.uniform(0.9, 1.1, len(lengths)), kind="stable"), capacity))
+    people = [*arrived, *(best_fit(lengths, rng.permutation(len(lengths)), capacity) for _ in range(POPULATION - len(arrived)))]
     ranked = sorted(((fitness(lengths, p), i, p) for i, p in enumerate(people)), key=lambda x: x[:2])
-    for generation in range(GENERATIONS):
-        a, b = sorted(rng.integers(0, len(ranked), 2).tolist())
-        child = crossover(ranked[a][2], ranked[b][2] if a != b else ranked[-1 - b][2], lengths, capacity, rng)
+    generation = 0
+    while generation < GENERATIONS and ranked[0][0][0] > least:
+        generation += 1
+        a, b = sorted(rng.choice(len(ranked), 2, replace=False).tolist())
+        child = crossover(ranked[a][2], ranked[b][2], lengths, capacity, rng)
         ranked = sorted([*ranked[:-1], (fitness(lengths, child), POPULATION + generation, child)], key=lambda x: x[:2])
-        if ranked[0][0][0] <= least:
-            break
-    return ranked[0][2]
+    return ranked[0][2], generation
 
 
-PACKED = "doc_id long, piece int, length long, shard long, island int, bin long, n_bins long, fit double"
+PACKED = "doc_id long, piece int, length long, shard long, island int, bin long, n_bins long, fit double, generations int"
 
 
 def _island(capacity: int):
@@ -195,9 +198,9 @@ def _island(capacity: int):
         lengths = own.length.to_numpy(np.int64)
         started = [pdf.bin.to_numpy(np.int64)[origins == o] for o in np.unique(origins) if o >= 0]
         shard, island = int(own.shard[0]), int(own.island[0])
-        bins = evolve(lengths, started, capacity, shard * 64 + island * 8 + len(started))
+        bins, generations = evolve(lengths, started, capacity, shard * 64 + island * 8 + len(started))
         n_bins, fit = fitness(lengths, bins)
-        return own[["doc_id", "piece", "length", "shard", "island"]].assign(bin=bins, n_bins=n_bins, fit=fit)
+        return own[["doc_id", "piece", "length", "shard", "island"]].assign(bin=bins, n_bins=n_bins, fit=fit, generations=generations)
 
     return run
 
@@ -233,9 +236,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: b
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset: documents packed into few sequences.
 
     A document is its token ids and END_ID; null and empty texts are END_ID alone. Only documents over `capacity` are
-    cut. Each piece lies in one sequence; pieces of a sequence lie end to end from 0. Rows without doc_id are left
-    out; of rows that share one the one with the least text counts. An empty table gives an empty result. Other
-    columns are ignored.
+    cut. Each piece lies in one sequence; pieces of a sequence lie end to end from 0. Rows without doc_id and rows
+    that share one are documents of their own (see with_row_ids), and their pieces carry the doc_id that they have.
+    An empty table gives an empty result. Other columns are ignored.
     """
-    pieces = cut(tokenized_pieces(one_row_each(docs, "text"), vocabulary, capacity, with_ids), "pack-pieces")
-    return pieces.join(assign(pieces, capacity), ["doc_id", "piece"])
+    rows = with_row_ids(docs)
+    pieces = cut(tokenized_pieces(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("name"), "text"), vocabulary, capacity, with_ids), "pack-pieces")
+    placed = pieces.join(assign(pieces, capacity), ["doc_id", "piece"])
+    return placed.withColumn("doc_id", F.col("name").cast(docs.schema["doc_id"].dataType)).drop("name")

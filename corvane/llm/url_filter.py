@@ -33,12 +33,36 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("//"), host, path))
 
 
+def resolved(href: Column, base: Column) -> Column:
+    """href as an absolute URL, seen from the page `base`; null if it is empty or the page has no "://".
+
+    Covers absolute links, "//host", "/path", "?query", "#fragment" and paths relative to the page's folder; "." and
+    ".." segments of the latter are taken out.
+    """
+    href = F.nullif(F.trim(href), F.lit(""))
+    scheme, site = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    folder = F.concat(F.regexp_replace(path, r"[^/]*$", ""), href)
+    relative = F.regexp_extract(F.when(F.startswith(href, F.lit("/")), href).otherwise(folder), r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+    nothing = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).when(x.isin(".", ""), done).otherwise(F.array_append(done, x))
+    parts = F.aggregate(F.split(relative, "/"), nothing, step)
+    final = F.when(F.endswith(relative, F.lit("/")) & (F.size(parts) > 0), F.lit("/")).otherwise(F.lit(""))
+    whole = F.concat(site, F.lit("/"), F.array_join(parts, "/"), final, rest)
+    out = (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
+        .when(F.substring(href, 1, 1).isin("?", "#"), F.concat(site, path, href)).when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None)).otherwise(whole)
+    )
+    return F.when(F.locate("://", base) > 0, out)
+
+
 def links_of(pages: DataFrame) -> DataFrame:
-    """Edges (a, b) that say two URLs are one page: canonical links and refresh redirects in the html, and canonical forms."""
-    link = F.regexp_extract("html", r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']([^"']+)["']""", 1)
-    moved = F.regexp_extract("html", r"""(?is)<meta\b(?=[^>]*http-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*([^"'>\s]+)""", 1)
-    targets = F.array(canonical(F.col("url")), F.nullif(link, F.lit("")), F.nullif(moved, F.lit("")))
-    return pages.select(F.col("url").alias("a"), F.explode(F.array_compact(targets)).alias("b")).where("a <> b")
+    """Edges (a, b) between URLs that are one page by what the html says: every canonical link and refresh redirect."""
+    link = F.regexp_extract_all("html", F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']([^"']+)["']"""), 1)
+    moved = F.regexp_extract_all("html", F.lit(r"""(?is)<meta\b(?=[^>]*http-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*([^"'>\s]+)"""), 1)
+    said = pages.select("url", F.explode(F.concat(link, moved)).alias("href"))
+    return said.select(F.col("url").alias("a"), resolved(F.col("href"), F.col("url")).alias("b")).where("b is not null")
 
 
 def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -56,26 +80,32 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None) -> DataFrame:
-    """pages with host, path, rule and verdict.
+    """pages (page_id, url, html) with host, path, rule and verdict.
 
     A URL that a rule fits has the rule's verdict: an explicit allow always stands. Any other is blocked if it is an
-    alias of a blocked URL, that is if redirects (a, b: URLs), canonical links or canonical forms connect them by any
-    chain, and allowed if not. Components are found over distinct URLs, so that a host or target with any share of
+    alias of a blocked URL, and allowed if not. URLs of one canonical form are aliases, and redirects (a, b: URLs) and
+    canonical links connect forms by chains of any length: every end of a link counts by its own form, whether it is
+    a page of the table or not. Components are found over distinct forms, so that a host or target with any share of
     the rows is one node, and they carry one decision each.
 
-    A null url, or one without "://", has empty host and path, no rule and no aliases of its own form. An empty
-    table gives an empty result; repeated rows are judged alike; clashing columns (host, path, rule, verdict) are
-    replaced.
+    A null url, or one without "://", has empty host and path, no rule and no aliases. An empty table gives an empty
+    result; repeated rows are judged alike; columns named host, path, rule or verdict are replaced, any others stay.
     """
     rule, action = best_rule(F.col("host"), F.col("path"), rules)
-    parts = lambda d, c: d.withColumn("host", host_of(F.col(c))).withColumn("path", path_of(F.col(c)))
+    own = F.struct(*(c for c in pages.columns if c not in ("host", "path", "rule", "verdict"))).alias("own")
+    parts = lambda df, url: df.withColumns({"host": host_of(url), "path": path_of(url), "form": canonical(url)})
+    judged = parts(pages.select(own), F.col("own.url")).withColumns({"rule": rule, "action": action})
+
     edges = links_of(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select("a", "b"))
-    groups = cut(connected_components(edges, "url-components"), "url-groups")
-    blocked = parts(groups, "node").withColumn("action", action).where("action = 'block'").select("component").distinct().withColumn("spread", F.lit(True))
-    spread = groups.join(blocked, "component").select(F.col("node").alias("_url"), "spread")
-    judged = parts(pages.drop("rule", "verdict"), "url").withColumn("rule", rule).withColumn("_action", action)
-    judged = judged.join(spread, judged.url == F.col("_url"), "left")
-    verdict = F.coalesce("_action", F.when(F.col("spread"), F.lit("block")), F.lit("allow"))
-    return judged.withColumn("verdict", verdict).drop("_action", "_url", "spread")
+        edges = edges.unionByName(redirects.select("a", "b").where("a is not null and b is not null"))
+    edges = cut(edges.distinct(), "url-links")
+    ends = parts(edges.select(F.explode(F.array("a", "b")).alias("url")), F.col("url")).withColumn("action", action)
+    seen = judged.select("form", "action").unionByName(ends.select("form", "action")).where("form is not null")
+    forms = seen.groupBy("form").agg(F.max(F.coalesce(F.col("action") == "block", F.lit(False))).alias("blocked"))
+    groups = connected_components(edges.select(canonical(F.col("a")).alias("a"), canonical(F.col("b")).alias("b")), "url-components")
+    named = cut(forms.join(groups, forms.form == groups.node, "left").select("form", "blocked", F.coalesce("component", "form").alias("component")), "url-forms")
+    bad = named.where("blocked").select("component").distinct()
+    spread = named.join(bad, "component", "left_semi").select("form", F.lit(True).alias("spread"))
+    verdict = F.coalesce("action", F.when(F.col("spread"), F.lit("block")), F.lit("allow"))
+    return judged.join(spread, "form", "left").select("own.*", "host", "path", "rule", verdict.alias("verdict"))

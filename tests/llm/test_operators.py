@@ -210,6 +210,24 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), queries.RULES).count() == 0
 
 
+def test_url_chains(spark):
+    """Chains of links over forms, relative targets and targets that are no pages, against plain components."""
+    link = lambda u: f'<link href="{u}" rel="canonical">'
+    rows = [
+        (1, "http://c.com/x", link("https://q.org/es/1")), (2, "http://a.com/x", link("http://www.c.com/x/")), (3, "http://d.com/a/b.html", link("../bad") + link("/good")),
+        (4, "http://d.com/bad", link("//q.org/es/9?z=1")), (5, "https://e.com/index.html", link("/index.html")), (6, "http://f.com/index.html", link("/index.html")),
+        (7, "http://g.com/y", '<meta http-equiv="refresh" content="0;url=./z">'), (8, "http://g.com/z", None), (9, "http://h.net/de/1", link("http://q.org/es/1")), (10, "none", link("/x")),
+        (11, "http://k.com/1", link("http://l.com/2")), (12, "http://m.com/3", link("http://l.com/2/")), (13, "http://g.com/good", link("mailto:x@y")), (14, "http://d.com/good", None),
+    ]
+    pages = spark.createDataFrame([(*r, 1, "mine") for r in rows], "page_id long, url string, html string, spread int, _url string")
+    moved = spark.createDataFrame([("http://m.com/3/", "http://www.q.org/es/77"), (None, "http://g.com/y")], "a string, b string")
+    out = url_filter.judge(pages, queries.RULES, moved)
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    got = {r.page_id for r in out.collect() if r.verdict == "block"}
+    assert got == {1, 2, 3, 4, 11, 12, 14}  # 9 is allowed by a rule; 5 and 6 have index pages of their own
+    assert {r.page_id for r in url_filter.judge(pages, queries.RULES).collect() if r.verdict == "block"} == {1, 2, 3, 4, 14}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import math
 import random
 import zlib
 
@@ -93,8 +94,6 @@ def test_odd_sketch_estimates():
         items = near_dedup.shingles(" ".join(sorted(common + [f"{own}{i}" for i in range(100)], key=lambda w: w)), 1)
         sketches.append(near_dedup.odd_sketch(near_dedup.signature(items, multiply, add), 512))
     odd = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in sketches[0] ^ sketches[1])
-    import math
-
     share = 1 + 512 / (4 * 288) * math.log(1 - 2 * odd / 512)
     assert abs(share - 900 / 1100) < 0.12
 
@@ -286,11 +285,42 @@ def test_toxicity(spark):
     bad, good = [r.score for r in out if r.toxic == 1], [r.score for r in out if r.toxic == 0]
     assert sum(b > g for b in bad for g in good) + 0.5 * sum(b == g for b in bad for g in good) > 0.8 * len(bad) * len(good)
     grammar = toxicity.Grammar({"fool*": 2.0}, tuple(toxicity.KINDS.values()), toxicity.BIAS)
-    rows = ["you are a foolish man", "they said you are a foolish man", "you are not a foolish man", "the foolish day", "", None, "I will hurt you", "a fine day"]
+    rows = ["you are a foolish man", "they said you are a foolish man", "you are not a foolish man", "the foolish day", "", None, "I will hurt you", "a fine day", "foolish, that are you", "I will not hurt you", "he will be there. hurt you"]
     scored = toxicity.score(spark.createDataFrame(list(enumerate(rows)), "id long, text string"), grammar)
     s = {r.id: r.score for r in scored.collect()}
-    assert s[0] > s[3] > s[1] and s[0] > s[2] > s[4] and s[4] == s[5] == s[7] < s[6]
+    assert s[0] > s[3] > s[1] and s[0] > s[2] > s[4] and s[4] == s[5] == s[7] == s[9] == s[10] < s[6] and s[8] > s[3]
     assert toxicity.learn(awkward(spark), spark.createDataFrame([], "doc_id long, toxic int")).lexicon == {}
+    assert toxicity.score(empty(spark), grammar).count() == 0
+
+
+def test_composed_transducer():
+    """The composed one does what its parts do one after another, on any sequence of symbols."""
+    rng, parts = random.Random(2), toxicity.transducers()
+    to, out, weights = toxicity.composed()
+    for _ in range(60):
+        states, here = [t.start for t in parts], 0
+        for _ in range(60):
+            symbol = passed = rng.choice(toxicity.SYMBOLS)
+            total = dict.fromkeys(toxicity.KINDS, 0.0)
+            for i, part in enumerate(parts):
+                states[i], passed, some = part.step(states[i], passed)
+                for kind, w in some.items():
+                    total[kind] += w
+            number = toxicity.SYMBOLS.index(symbol)
+            assert tuple(total.values()) == weights[out[here][number]]
+            here = to[here][number]
+
+
+def test_clauses_not_words_decide():
+    """One word in different clauses: the match's kind, and with it the score, comes from what stands around it."""
+    symbols = toxicity.Symbols({"clown": 3.0})
+    kinds = list(toxicity.KINDS)
+    say = lambda text: {k: round(x, 3) for k, x in zip(kinds, toxicity.clause_matches(text, symbols)) if x}
+    at = round(float(math.log(4)), 3)
+    assert say("the clown came") == {"insult": at} and say("you are a clown") == {"targeted": at} and say("clown, are you") == {"targeted": at}
+    assert say("you are no clown") == {"negated": at} and say("she wrote that you are a clown") == {"reported": at} and say('"clown"') == {"reported": at}
+    assert say("you left. the old man was a clown. you came") == {"insult": at} and say("no. clown") == {"insult": at}
+    assert say("we will hurt them") == {"threat": round(float(math.log(2)), 3)} and say("we will not hurt them") == {} and say("hurt") == {}
 
 
 def test_contamination(spark, texts):

@@ -13,8 +13,6 @@ from corvane.llm.shared import cut, forget
 OPEN, MIDDLE, CLOSE = "### ", ":\n", "</turn>\n"
 TEXT_ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
 ROLE_ESCAPES = (*TEXT_ESCAPES, ("\n", "\\n"))
-#: Doublings after which what is still going up is a cycle: no path has 2 ** 40 nodes.
-MOST_ROUNDS = 40
 
 
 def escape(text: Column, escapes=TEXT_ESCAPES) -> Column:
@@ -36,7 +34,8 @@ def reply_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
 
     nodes: tree_id, id (unique in its tree), parent_id (null: a root), score, and any others. A parent that isn't in
     the tree makes a root too; nodes on a cycle lie on no path. Branches are ranked within their tree by the mean
-    score of their nodes (null scores count as 0), ties to the smaller leaf id; the first `keep` are chosen.
+    score of their nodes (null scores count as 0), ties to the smaller leaf id; the first `keep` are chosen. Of rows
+    that share tree_id and id the one whose other columns sort least counts.
 
     Iterated self-joins double what is known: after round j each node knows its ancestor 2 ** j steps up and the sum
     of scores in between, and at the end a chosen leaf's path grows from the ends in the same way. A node that has
@@ -44,12 +43,17 @@ def reply_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     and joins are on single nodes, so that a huge tree is spread out like any rows.
     """
     spark = nodes.sparkSession
+    if nodes.groupBy("tree_id", "id").count().where("count > 1").limit(1).count():
+        least = nodes.groupBy("tree_id", "id").agg(F.min(F.struct(*(c for c in nodes.columns if c not in ("tree_id", "id")))).alias("_row"))
+        nodes = cut(least.select("tree_id", "id", "_row.*").select(*nodes.columns), "chat-nodes")
+    # no path has more nodes than its tree: what still goes up after that many steps is on a cycle
+    most = nodes.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
     here = nodes.select("tree_id", "id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum"))
     known = here.select(F.col("tree_id").alias("t_2"), F.col("id").alias("id_2"))
     step = here.join(known, F.expr("tree_id <=> t_2 and parent_id = id_2"), "left")
     jumps = [cut(step.select("tree_id", "id", F.col("id_2").alias("up"), "sum", F.lit(1).cast("long").alias("depth")), "chat-up-0")]
     settled = jumps[0].where("up is null")
-    while jumps[-1].where("up is not null").limit(1).count() and len(jumps) <= MOST_ROUNDS:
+    while jumps[-1].where("up is not null").limit(1).count() and 1 << (len(jumps) - 1) < most:
         going = jumps[-1].where("up is not null")
         above = settled.unionByName(going).select(F.col("tree_id").alias("t_2"), F.col("id").alias("id_2"), F.col("up").alias("up_2"), F.col("sum").alias("sum_2"), F.col("depth").alias("depth_2"))
         joined = going.join(above, F.expr("tree_id <=> t_2 and up = id_2"))

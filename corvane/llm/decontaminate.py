@@ -76,16 +76,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = 10, automa
     total = found.agg(F.sum(F.length("window"))).first()[0] or 0
     blocks = max(1, -(-total // automaton_bytes))
     zero = {"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<long>"), "hits": F.array().cast("array<long>")}
-    out = docs.drop("n_hit", "spans", *zero).withColumns({"_items": zero["items"], "_hits": zero["hits"]})
+    held = [next(x for x in (f"{c}_{'_' * i}" for i in range(99)) if x not in docs.columns) for c in ("items", "hits")]  # names that docs doesn't have
+    out = docs.drop("n_hit", "spans", *zero).withColumns({held[0]: zero["items"], held[1]: zero["hits"]})
     for i in range(blocks):
         # a window's block is its own hash, so all items that share it are there, and blocks are about even
         part = [(r.item_id, bytes(r.window)) for r in found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i).collect()]
         added = {"n_words": ("long", pa.int64()), "items": LONGS, "hits": LONGS}
-        out = with_computed(out, ["text", "_items", "_hits"], added, _scanner(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part)))
+        out = with_computed(out, ["text", *held], added, _scanner(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part)))
         if i < blocks - 1:
-            out = out.drop("n_words", "_items", "_hits").withColumnsRenamed({"items": "_items", "hits": "_hits"})
+            out = out.drop("n_words", *held).withColumnsRenamed({"items": held[0], "hits": held[1]})
     added = {"n_hit": ("long", pa.int64()), "spans": ("array<struct<start:int,end:int>>", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
-    return with_computed(out.drop("_items", "_hits"), ["text", "n_words", "hits"], added, lambda: _summary).drop("hits")
+    return with_computed(out.drop(*held), ["text", "n_words", "hits"], added, lambda: _summary).drop("hits")
 
 
 LONGS = ("array<long>", pa.list_(pa.int64()))
@@ -137,7 +138,7 @@ def _summary(texts: list[str | None], words: list[int], all_hits: list[list[int]
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """docs, in their own columns, without those that have a window of a benchmark item."""
-    tagged = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c != "text"})
+    tagged = docs.select(*(F.col(c).alias(c if c == "text" else f"_own_{c}") for c in docs.columns))
     return find_passages(tagged, benchmark, width).where("n_hit = 0").select(*(F.col(c if c == "text" else f"_own_{c}").alias(c) for c in docs.columns))
 
 

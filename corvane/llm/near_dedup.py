@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.shared import cut, forget, mix, one_row_each, with_row_ids, word_hashes
+from corvane.llm.shared import cut, forget, mix, one_row_each, restored, with_row_ids, word_hashes
 
 BANDS, ROWS = 48, 6
 SKETCH_BITS = 512
@@ -195,6 +195,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without doc_id and rows that share one are documents of their own; see with_row_ids.
     """
     rows = with_row_ids(docs)
-    out = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
-    gone = out.where("not kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    out = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("own_text").alias("text")), **options)
+    gone = out.where("not kept").select(F.col("doc_id").alias("row"))
+    return restored(rows.join(gone, "row", "left_anti"), docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,12 +37,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+#: The splitting rules of a vocabulary file for which words may be encoded apart (fixed values of the file).
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class _Encoder:
-    """Ids of a text, as little-endian unsigned 32-bit bytes, from those of its words, each encoded once."""
+    """Ids of a text, as little-endian unsigned 32-bit bytes, from those of its words, each encoded once.
+
+    A vocabulary with other splitting rules than APART encodes each text as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:  # a vocabulary lies at the same place on every machine
+            rules = json.load(file)
+        self.apart = rules.get("normalizer") == APART["normalizer"] and (rules.get("pre_tokenizer") or {}).get("pretokenizers") == APART["pretokenizers"]
         self.tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
         model = self.tokenizer.model.tokenize
         plain, parts, ids = PLAIN.fullmatch, PART.findall, self._ids
@@ -67,7 +84,7 @@ class _Encoder:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if CONTROL_SPACES.search(text):  # str.split() takes these for blanks, the tokenizer doesn't
+        if not self.apart or CONTROL_SPACES.search(text):  # str.split() takes these for blanks, the tokenizer doesn't
             return self._ids(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
@@ -76,7 +93,7 @@ _encoders: dict[str, _Encoder] = {}
 
 
 def encoder(path: str) -> _Encoder:
-    """Built once in each Python worker. No token of this vocabulary spans white space, so words can be encoded apart."""
+    """Built once in each Python worker."""
     if path not in _encoders:
         _encoders[path] = _Encoder(path)
     return _encoders[path]
@@ -241,6 +258,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: b
     An empty table gives an empty result. Other columns are ignored.
     """
     rows = with_row_ids(docs)
-    pieces = cut(tokenized_pieces(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("name"), "text"), vocabulary, capacity, with_ids), "pack-pieces")
+    pieces = cut(tokenized_pieces(rows.select(F.col("row").alias("doc_id"), F.col("own_doc_id").alias("name"), F.col("own_text").alias("text")), vocabulary, capacity, with_ids), "pack-pieces")
     placed = pieces.join(assign(pieces, capacity), ["doc_id", "piece"])
     return placed.withColumn("doc_id", F.col("name").cast(docs.schema["doc_id"].dataType)).drop("name")

@@ -134,6 +134,7 @@ def repeated_starts(texts: DataFrame, kind: str, length: int, k: int, earlier: b
     alike = cut(alike.select(*context, "n", "one.doc_id", "one.low", "open"), f"{name}-contexts")
     classes = alike.groupBy("h").agg(F.min("doc_id").alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("asks"), F.count("*").alias("kinds"))
     asked = classes.where("kinds > 1 and asks is not null" + " and first < asks" * earlier).select("h")
+    asked = cut(asked, f"{name}-asked")
     answering = alike.join(asked, "h").groupBy("doc_id").agg(F.collect_list(F.struct("low", "size", "h", "n", "open")).alias("ranges"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

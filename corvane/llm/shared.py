@@ -131,23 +131,30 @@ def one_row_each(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_row_ids(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of its own for each row: doc_id where that is there and not repeated.
+    """Every column c of docs as own_c, and row, a number of its own for each row: doc_id where that is there and not repeated.
 
     Rows without doc_id and rows that share one get numbers after all others, in the order of doc_id and text, so
-    that each is a document of its own. Only a table that has such rows is written anew.
+    that each is a document of its own. Only a table that has such rows is written anew. restored() gives the columns
+    their names back; till then none can clash with another.
     """
     small_batches(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    repeated = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_odd"))
+    docs = docs.select(*(F.col(c).alias(f"own_{c}") for c in docs.columns))
+    key = F.col("own_doc_id").cast("long")
+    ids = docs.select(key.alias("id"))
+    repeated = ids.groupBy("id").count().where("count > 1 or id is null").select("id", F.lit(True).alias("odd"))
     if not repeated.limit(1).count():
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    repeated = cut(repeated, "repeated-ids")
-    marked = docs.join(repeated, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    after = (ids.agg(F.max("doc_id")).first()[0] or 0) + 1
-    odd = marked.where("_odd").drop("_odd").withColumn("_place", F.monotonically_increasing_id())
-    odd = odd.repartitionByRange("doc_id", "text", "_place").sortWithinPartitions("doc_id", "text", "_place").drop("_place")
-    odd = odd.withColumn("_row", F.monotonically_increasing_id() + after)
-    return cut(marked.where("_odd is null").drop("_odd").withColumn("_row", F.col("doc_id").cast("long")).unionByName(odd), "row-ids")
+        return docs.withColumn("row", key)
+    marked = docs.join(cut(repeated, "repeated-ids"), key.eqNullSafe(F.col("id")), "left").drop("id")
+    after = (ids.agg(F.max("id")).first()[0] or 0) + 1
+    odd = marked.where("odd").drop("odd").withColumn("place", F.monotonically_increasing_id())
+    odd = odd.repartitionByRange("own_doc_id", "own_text", "place").sortWithinPartitions("own_doc_id", "own_text", "place").drop("place")
+    odd = odd.withColumn("row", F.monotonically_increasing_id() + after)
+    return cut(marked.where("odd is null").drop("odd").withColumn("row", key).unionByName(odd), "row-ids")
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns of what with_row_ids() took, under their own names."""
+    return rows.select(*(F.col(f"own_{c}").alias(c) for c in columns))
 
 
 def with_computed(df: DataFrame, inputs: list[str], added: dict[str, tuple[str, pa.DataType]], start) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import repeats
-from corvane.llm.shared import one_row_each, with_row_ids
+from corvane.llm.shared import cut, one_row_each, restored, with_row_ids
 
 
 def find_repeats(docs: DataFrame, length: int = 50, seed: int = 25) -> DataFrame:
@@ -28,7 +28,9 @@ def find_repeats(docs: DataFrame, length: int = 50, seed: int = 25) -> DataFrame
     docs = one_row_each(docs, "text")
     base = repeats.scan(docs, "words", length, seed, "substring")
     rows = repeats.anchor_rows(base)
+    # written first: a hash that any share of the rows has can then be split in the join
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
+    shared = cut(shared, "substring-shared")
     texts = repeats.follow_up(docs, rows.join(shared, "h").select("doc_id", "ord"), "words", length, seed, "substring")
     starts = repeats.repeated_starts(texts, "words", length, seed, True, "substring")
     out = repeats.kept(texts, base, starts, "words", length)
@@ -45,13 +47,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 25) -> DataFra
     def unpacked(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            yield pd.DataFrame({"_row": batch.doc_id, "_kept": [unpack.decompress(x).decode() for x in batch.kept]})
+            yield pd.DataFrame({"row": batch.doc_id, "kept": [unpack.decompress(x).decode() for x in batch.kept]})
 
     rows = with_row_ids(docs)
-    found = find_repeats(rows.select(F.col("_row").alias("doc_id"), "text"), length, seed)
-    changed = found.where("n_removed > 0").select("doc_id", "kept").mapInPandas(unpacked, "_row long, _kept string")
-    out = rows.join(changed, "_row", "left").where("_kept is null or _kept <> ''")
-    values = {"text": F.coalesce("_kept", "text")}
+    found = find_repeats(rows.select(F.col("row").alias("doc_id"), F.col("own_text").alias("text")), length, seed)
+    changed = found.where("n_removed > 0").select("doc_id", "kept").mapInPandas(unpacked, "row long, kept string")
+    out = rows.join(changed, "row", "left").where("kept is null or kept <> ''")
+    values = {"own_text": F.coalesce("kept", "own_text")}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(values).select(*docs.columns)
+        values["own_n_chars"] = F.when(F.col("kept").isNotNull(), F.char_length("kept")).otherwise(F.col("own_n_chars")).cast(docs.schema["n_chars"].dataType)
+    return restored(out.withColumns(values), docs.columns)

@@ -51,6 +51,7 @@ def find_repeats(docs: DataFrame, length: int = 400, sample: int = 272) -> DataF
     base = repeats.scan(docs, "bytes", length, sample, "suffix")
     rows = repeats.anchor_rows(base)
     shared = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = cut(shared, "suffix-shared")
     sampled = cut(rows.join(shared, "h").select("doc_id", "ord", "at", F.col("h").alias("r"), F.lit(sample).alias("len")), "suffix-positions")
     covered = double_ranks(sampled, length)
     spans = covered.groupBy("doc_id").agg(F.collect_list("at").alias("starts"), F.collect_list(F.col("at") + F.col("len")).alias("ends"))

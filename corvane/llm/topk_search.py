@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block of queries and of a block of candidates: the dense array of scores has their product of cells.
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+#: Rows of a block of queries and of a block of candidates, which bound what a task holds and how often a row is copied
+#: for it; and how many of the queries are scored at once: the dense array of scores has that many rows.
+QUERY_BLOCK, CANDIDATE_BLOCK, AT_ONCE = 8192, 4096, 512
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -27,6 +28,12 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 def best_of_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best candidates of this block for each query of this block, some queries at once."""
+    parts = [_best(queries[i : i + AT_ONCE], candidates, k) for i in range(0, len(queries), AT_ONCE)]
+    return pd.concat(parts) if parts else _best(queries, candidates, k)
+
+
+def _best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of this block for each query of this block.
 
     Each term in turn adds, for the queries that have it, their weight times the term's postings to dense arrays of
@@ -73,6 +80,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block:
     queries: query_id, vector (array of long, sparse as zeros); candidates: vec_id, vector. A candidate with the
     query's own id is left out; ties go to the smaller id. Every query is scored against every candidate, in blocks
     of bounded size: a task has one block of each, and what blocks find is merged by rank. Nothing is sampled.
+    Repeated rows of a vec_id are candidates of their own; of those of a query_id each is searched for.
 
     Null ids or vectors take no part; with fewer candidates than k all are returned; scores beyond 64 bits wrap.
     """

@@ -139,6 +139,8 @@ def test_reply_trees(spark):
     for r in sorted(out, key=lambda r: r.depth):
         paths.setdefault((r.tree_id, r["rank"], r.path_id), []).append(r.id)
     assert paths == {(1, 1, 5): [1, 3, 4, 5], (1, 2, 2): [1, 2], (2, 1, 1): [1], (4, 1, 8): [8]}
+    twice = chat_format.reply_paths(table.unionByName(table), keep=2).collect()
+    assert sorted(map(tuple, twice)) == sorted(map(tuple, out))
 
 
 def test_language(spark, texts):
@@ -246,6 +248,8 @@ def test_packing(spark):
         sequences[r.sequence_id] = r.offset + r.length
     assert max(sequences.values()) <= 4096 and len(sequences) <= -(-sum(sequences.values()) // 4096) + 1
     assert packing.pack(empty(spark), queries.vocabulary_path()).count() == 0
+    other = packing.encoder(queries.vocabulary_path("byte_bpe_50k.json"))  # splits otherwise: whole texts
+    assert not other.apart and other("a b  c") == array.array("I", other.tokenizer.encode("a b  c", add_special_tokens=False).ids).tobytes()
 
 
 def test_genetic_algorithm_beats_its_start(spark):
@@ -333,6 +337,8 @@ def test_contamination(spark, texts):
         assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), decontaminate.items_digest(r["items"])) for r in out} == brute.contamination(docs, items)
     spans = {r.doc_id: [docs[r.doc_id][s.start : s.end] for s in r.spans] for r in out}
     assert spans[2] == ["short   ITEM, short item"] and spans[7] == ["Straße-漢字 9"] and spans[5] == []
+    odd = decontaminate.find_passages(table.withColumns({"items_": F.lit(5), "hits_": F.lit(6), "_items": F.lit(7)}), bench, automaton_bytes=150)
+    assert {(r.items_, r.hits_, r._items) for r in odd.collect()} == {(5, 6, 7)}
     kept = decontaminate.drop_contaminated(table, bench)
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, 6} - ({6} if brute.contamination(docs, items)[6][1] else set())
     assert decontaminate.find_passages(table.limit(0).drop("hits"), bench).count() == 0

@@ -6,6 +6,29 @@ from tests.llm import brute
 SF = "/root/testdata/sf0.001"
 
 
+def test_stages_with_awkward_rows(spark):
+    """Null and repeated ids, null and empty texts, copies, more columns with names of the operators' own: nothing is lost that should stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 12").select("doc_id", "text", "lang", "source", "n_chars")
+    prose = docs.where("length(text) > 200").orderBy("doc_id").first().text
+    rows = [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, prose, "en", "s", 1), (902, prose[: len(prose) // 2], "en", "s", 1), (None, prose + " end", "en", "s", 1), (903, prose, None, None, None)]
+    odd = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for c in ("row", "own_text", "kept", "place", "odd", "id", "_row", "spread", "items", "hits", "score", "accepted", "n", "piece", "name"):
+        odd = odd.withColumn(c, odd.doc_id * 0 + 7)
+    for name, stage in corpus_pipeline.STAGES:
+        out = cut(stage(spark, odd, SF), "test")
+        found = [r.doc_id for r in out.collect()]
+        if name == "packing":
+            assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
+            assert len(found) >= odd.count() and found.count(None) == 1 and found.count(902) == 2
+        else:
+            assert out.columns == odd.columns
+        if name == "near_dedup":
+            assert found.count(None) == 0 and 903 not in found and {900, 901} <= set(found)
+        assert stage(spark, odd.limit(0), SF).count() == 0
+
+
 def test_stages(spark):
     import corpus_pipeline
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,40 +103,57 @@ def bootstrap_lcg(pairs: DataFrame, replicates: int, a: int = 7919, b: int = 104
     """replicate, diff: corpus error rates of system a less b over resampled rows, drawn by an integer rule.
 
     pairs: number (0 to n - 1), distance_a, distance_b, reference_length. Draw i of replicate r is row
-    (a * r + b * i + c * r * i) mod n, so that SQL can draw the same rows. Instead of joining every draw with its row,
-    each replicate's draws are counted into weights within the map task that made them.
+    (a * r + b * i + c * r * i) mod n, so that SQL can draw the same rows. No draw is made: i goes through a residue
+    class modulo g, the greatest common divisor of n and b + c * r, so row x is drawn g times if x - a * r is divisible
+    by g and never if not, and each replicate is one aggregation over the rows of its class.
     """
     n = pairs.count()
-    draws = pairs.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    number = (F.lit(a) * F.col("replicate") + F.lit(b) * F.col("i") + F.lit(c) * F.col("replicate") * F.col("i")) % n
-    weights = draws.groupBy("replicate", number.cast("long").alias("number")).count()
-    joined = weights.join(pairs.select("number", "distance_a", "distance_b", "reference_length"), "number")
-    sums = joined.groupBy("replicate").agg(*(F.sum(F.col(x) * F.col("count")).alias(x) for x in ("distance_a", "distance_b", "reference_length")))
+    rules = [(r, a * r % n, math.gcd((b + c * r) % n, n)) for r in range(replicates)] if n else []
+    each = F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(k) for k, x in zip(("replicate", "s", "g"), rule))) for rule in rules)) if rules else F.array().cast("array<struct<replicate:long,s:long,g:long>>"))
+    drawn = pairs.select("number", "distance_a", "distance_b", "reference_length", each.alias("d")).where(F.pmod(F.col("number") - F.col("d.s"), F.col("d.g")) == 0)
+    sums = drawn.groupBy("d.replicate").agg(*(F.sum(F.col(x) * F.col("d.g")).alias(x) for x in ("distance_a", "distance_b", "reference_length")))
     return sums.select("replicate", ((F.col("distance_a") - F.col("distance_b")) / F.col("reference_length")).alias("diff"))
 
 
-def bootstrap(pairs: DataFrame, replicates: int = 10000, seed: int = 42, block: int = 1 << 16) -> DataFrame:
-    """diff, low, high, p_value, significant: a paired bootstrap in which both systems share the drawn rows.
+def _poisson_weights(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """A Poisson(1) draw for each replicate and key, by hashing both: the same wherever a row is."""
+    x = keys[None, :] + (replicates[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(steps, uniform, "right")
 
-    Draws are Poisson weights, made block by block of rows where the rows are and summed by replicate, so that neither
-    rows nor draws come together in one place: the large-sample form of drawing n of n with replacement.
+
+def bootstrap(pairs: DataFrame, replicates: int = 10000, seed: int = 42, confidence: float = 0.95, key: str = "utt_id") -> DataFrame:
+    """n, cer_a, cer_b, diff, low, high, p_value, significant: a paired bootstrap in which both systems share the drawn rows.
+
+    Draws are Poisson weights by hash of row key, replicate and seed, made where the rows are and summed by replicate,
+    so that neither rows nor draws come together in one place and no partitioning changes the result: the large-sample
+    form of drawing n of n with replacement. The interval takes the sorted differences at index floor(alpha * n) and
+    ceil((1 - alpha) * n) - 1; the p-value is twice the share of differences on the other side of 0 from the observed.
     """
-    kept = pairs.where("reference_length > 0").select("distance_a", "distance_b", "reference_length")
-    observed = kept.agg((F.sum("distance_a") - F.sum("distance_b")) / F.sum("reference_length")).first()[0]
-    if observed is None:
+    kept = pairs.where("reference_length > 0").select(F.xxhash64(F.col(key)).alias("key"), "distance_a", "distance_b", "reference_length")
+    whole = kept.agg(F.count("*").alias("n"), *(F.sum(c).cast("double").alias(c) for c in ("distance_a", "distance_b", "reference_length"))).first()
+    if not whole.n:
         raise ValueError("nothing to compare: no row has a reference")
+    observed = (whole.distance_a - whole.distance_b) / whole.reference_length
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((replicates, 3))
         for batch in batches:
-            values = batch.to_numpy(np.float64)
-            for i in range(0, len(values), block):
-                part = values[i : i + block]
-                rng = np.random.default_rng([seed, len(part), *np.abs(part.sum(0)).astype(np.int64).tolist(), i])
-                sums = np.vstack([rng.poisson(1.0, (min(256, replicates - r), len(part))) @ part for r in range(0, replicates, 256)])
-                yield pd.DataFrame(sums, columns=["a", "b", "n"]).assign(replicate=np.arange(replicates))
+            keys, values = batch.key.to_numpy().view(np.uint64), batch[["distance_a", "distance_b", "reference_length"]].to_numpy(np.float64)
+            for i in range(0, len(keys), 4096):
+                for r in range(0, replicates, 128):
+                    numbers = np.arange(r, min(r + 128, replicates), dtype=np.uint64)
+                    total[r : r + 128] += _poisson_weights(keys[i : i + 4096], numbers, seed) @ values[i : i + 4096]
+        yield pd.DataFrame(total, columns=["a", "b", "n"]).assign(replicate=np.arange(replicates))
 
     sums = kept.mapInPandas(draw, "a double, b double, n double, replicate long").groupBy("replicate").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
     diffs = sums.where("n > 0").select(((F.col("a") - F.col("b")) / F.col("n")).alias("d"))
-    out = diffs.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.count_if(F.col("d") <= 0).alias("down"), F.count_if(F.col("d") >= 0).alias("up"), F.count("*").alias("k"))
-    p = F.least(F.lit(1.0), 2 * F.least("down", "up") / F.col("k"))
-    return out.select(F.lit(float(observed)).alias("diff"), "low", "high", p.alias("p_value"), ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
+    ordered = diffs.agg(F.array_sort(F.collect_list("d")).alias("d"))  # a number for each replicate
+    alpha, k = (1 - confidence) / 2, F.size("d")
+    low, high = F.greatest(F.lit(0), F.floor(alpha * k).cast("int")), F.least(k - 1, F.ceil((1 - alpha) * k).cast("int") - 1)
+    other = F.size(F.filter("d", (lambda x: x <= 0) if observed >= 0 else (lambda x: x >= 0)))
+    out = ordered.select(F.lit(whole.n).alias("n"), F.lit(whole.distance_a / whole.reference_length).alias("cer_a"), F.lit(whole.distance_b / whole.reference_length).alias("cer_b"), F.lit(observed).alias("diff"), F.get("d", low).alias("low"), F.get("d", high).alias("high"), F.least(F.lit(1.0), 2 * other / k).alias("p_value"))
+    return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))

@@ -277,7 +277,7 @@ case when (doc_id % 5 = 0 and doc_id % 3 <> 0) or doc_id % 71 = 2 then 10.0::dou
 select 'error' as level, 'missing utt_id' as finding from manifest where utt_id is null
 union all select 'error', 'blank text' from manifest where trim(text) = ''
 union all select 'error', 'unknown source' from manifest where source not in ('synthetic_qwen3tts', 'synthetic_cosyvoice3', 'human', 'public')
-union all select 'error', 'category general is for public speech only' from manifest where (domain_category = 'general') <> (source = 'public')
+union all select 'warning', 'category outside the taxonomy' from manifest where domain_category <> 'numeric' and not (domain_category = 'general' and source = 'public')
 union all select 'error', 'noise without snr' from manifest where condition = 'noise' and snr is null
 union all select 'error', 'competing speech without sir' from manifest where condition = 'competing_speech' and sir is null
 union all select 'error', 'clean with snr or sir' from manifest where condition = 'clean' and (snr is not null or sir is not null)
@@ -380,7 +380,8 @@ def nested_budget_prefix(spark, sf_dir):
     return rows.select("doc_id", F.col("before").cast("long").alias("before"), *(F.array_contains("subsets", b).alias(f"in_{b}") for b in BUDGETS))
 
 
-@query("select doc_id from documents where false")
+@query("""with s as (select doc_id, coalesce(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents)
+select doc_id from s where before < 50000 and not before < 250000 or before < 250000 and not before < 500000""")
 def nesting_violations(spark, sf_dir):
     rows = sampling.nested_budgets(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", ["doc_id"], BUDGETS)
     return sampling.nesting_violations(rows, BUDGETS).select("doc_id")
@@ -391,7 +392,7 @@ def balanced_order(spark, sf_dir):
     return rounded(sampling.balanced_position(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id"), "position")
 
 
-@query()
+@query("select format('SPK{:02d}', cast(r % 32 as int)) as speaker_id, count(*) as n from (select row_number() over (order by md5(concat('42|', doc_id)), doc_id) - 1 as r from documents) group by r % 32")
 def round_robin_assign(spark, sf_dir):
     """A speaker for every document, dealt in turn in hash order."""
     return sampling.round_robin(read(spark, sf_dir, "documents").select("doc_id"), inventory_rows(spark), ["doc_id"], "speaker_id").groupBy("speaker_id").agg(F.count("*").alias("n"))
@@ -476,7 +477,7 @@ def pivot_report_xx(spark, sf_dir):
     return report.pivot_with_missing(records, spec, "lang", "source", ["src0", "src1", "src2"], F.col("v"))
 
 
-@query()
+@query("with p as (" + SQL["pivot_report_xx"] + ") select count(*) * 3 as n_cells, cast(sum(cast(src0 = 'XX' as int) + cast(src1 = 'XX' as int) + cast(src2 = 'XX' as int)) as bigint) as n_missing from p")
 def missing_cells(spark, sf_dir):
     return report.missing_cells(pivot_report_xx(spark, sf_dir), ["src0", "src1", "src2"])
 
@@ -521,7 +522,7 @@ select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6
 def cosine_pairs(spark, sf_dir):
     """A stated query set (ids divisible by 100) against all rows, in blocks of queries that are sent to the rows."""
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries, blocks = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 16
+    queries, blocks = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), max(16, -(-rows.count() // 8192))
     left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     near = right.join(left, "block").where("vec_id <> query_id").select("query_id", "vec_id", arrays.cosine(F.col("query"), F.col("embedding")).alias("cosine"))
@@ -562,7 +563,9 @@ def frame_energies(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.transform(arrays.frame_energies(F.col("embedding"), 16, 8), lambda x: F.round(x, 9)).alias("energies"))
 
 
-@query()
+@query(f"""with v as (select vec_id, {V} as e, case when list_max(list_transform({V}, lambda x: abs(x))) > 0 then list_max(list_transform({V}, lambda x: abs(x))) else 1.0 end as peak from embeddings),
+c as (select vec_id, e, peak, list_transform(e, lambda x: round_even((sign(x / peak) * ln(1 + 255 * abs(x / peak)) / ln(256) + 1) / 2 * 255, 0) / 255 * 2 - 1) as q from v)
+select vec_id, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: abs(e[i] - sign(q[i]) * (pow(256.0, abs(q[i])) - 1) / 255 * peak))), 6) as error from c""")
 def mu_law_codec(spark, sf_dir):
     error = arrays.total(F.zip_with(arrays.doubles(F.col("embedding")), arrays.mu_law(F.col("embedding")), lambda a, b: F.abs(a - b)))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(error, 6).alias("error"))

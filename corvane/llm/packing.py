@@ -26,8 +26,8 @@ SEQUENCES_A_SHARD = 1 << 24
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 CONTROL_SPACES = re.compile("[\x1c-\x1f]")
-#: Words whose ids a worker keeps; about 30 MB.
-KEPT_WORDS = 150_000
+#: Words whose ids a worker keeps; about 50 MB.
+KEPT_WORDS = 250_000
 
 
 def _byte_letters() -> dict[int, str]:

@@ -37,15 +37,43 @@ def missing_cells(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.agg((F.count("*") * len(columns)).alias("n_cells"), n.cast("long").alias("n_missing"))
 
 
+#: The experiment matrix (fixed values): phase, models, arms, budgets, augmented, replay, seeds; every combination of a line is one run.
+MATRIX = [
+    ("8", ["qwen06"], ["zero"], [None], False, False, [42]),
+    ("15", ["qwen17"], ["zero"], [None], False, False, [42]),
+    ("10", ["qwen06"], ["full", "audiolora", "proj", "textlora", "audiolora_proj", "textlora_proj", "dualpeft"], ["20h"], False, False, [42]),
+    ("12", ["qwen06"], ["full", "textlora", "dualpeft"], ["1h", "5h", "10h"], False, False, [42]),
+    ("13", ["qwen06"], ["dualpeft"], ["20h"], True, False, [42]),
+    ("14", ["qwen06"], ["dualpeft"], ["20h"], False, True, [42]),
+    ("15", ["qwen17"], ["dualpeft", "full"], ["20h"], False, False, [42]),
+    ("17", ["qwen06"], ["textlora", "dualpeft"], ["1h"], False, False, [123, 2026]),
+]
+
+
 def config_grid(spark: SparkSession) -> DataFrame:
-    """Training configurations: each arm at each budget, and extra seeds for the full arm at the smallest budget."""
-    arms = spark.createDataFrame([("full", 2e-5), ("textlora", 1e-4), ("audiolora", 1e-4), ("proj", 1e-3)], "arm string, learning_rate double")
-    budgets = spark.createDataFrame([("1h", 3), ("5h", 3), ("10h", 2), ("20h", 2)], "budget string, epochs int")
-    base = arms.join(budgets, F.lit(True)).withColumn("seed", F.lit(42))  # two fixed lists of four
-    more = base.where("arm = 'full' and budget = '1h'").drop("seed").withColumn("seed", F.explode(F.array(F.lit(43), F.lit(44))))
-    grid = base.unionByName(more)
-    seed = F.when(F.col("seed") == 42, F.lit("")).otherwise(F.concat(F.lit("_seed"), F.col("seed").cast("string")))
-    return grid.withColumn("name", F.concat_ws("", F.lit("base1_"), "arm", F.lit("_"), "budget", seed))
+    """The training configurations of the matrix: name, keys, learning rate by arm, epochs by budget, training manifest."""
+    lines = spark.createDataFrame(MATRIX, "phase string, models array<string>, arms array<string>, budgets array<string>, augmented boolean, replay boolean, seeds array<int>")
+    grid = lines
+    for many, one in (("models", "model"), ("arms", "arm"), ("budgets", "budget"), ("seeds", "seed")):
+        grid = grid.withColumn(one, F.explode(many)).drop(many)
+    flag = lambda c, tag: F.when(c, F.lit(tag)).otherwise(F.lit(""))
+    budget = F.coalesce(F.concat(F.lit("_"), "budget"), F.lit(""))
+    seed = flag(F.col("seed") != 42, "_seed")
+    name = F.concat("model", F.lit("_"), "arm", budget, flag(F.col("augmented"), "_aug"), flag(F.col("replay"), "_replay"), seed, F.when(F.col("seed") != 42, F.col("seed").cast("string")).otherwise(""))
+    kind = F.when(F.col("replay"), "_replay").when(F.col("augmented"), "_aug").otherwise("")
+    return grid.withColumns({
+        "name": name, "learning_rate": F.when(F.col("arm") == "full", 2e-5).otherwise(1e-4), "epochs": F.when(F.col("budget") == "1h", 3).when(F.col("budget") == "5h", 2).otherwise(1),
+        "gradient_checkpointing": F.col("arm") == "full", "train_manifest": F.when(F.col("arm") != "zero", F.concat(F.lit("data/manifests/train_"), "budget", kind, F.lit(".jsonl"))),
+    })
+
+
+def twin(table: DataFrame, key: str, title: str, order: str) -> DataFrame:
+    """A finished table, small by nature, as one JSON text beside its CSV: columns, rows in order, cells and missing cells."""
+    columns = [c for c in table.columns if c != order]
+    row = F.struct(F.col(order).alias("at"), F.array(*(F.col(c).cast("string") for c in columns)).alias("cells"))
+    missing = sum((F.count_if(F.col(c).cast("string") == MISSING) for c in columns), F.lit(0))
+    whole = table.agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r.cells).alias("rows"), missing.alias("n_missing_cells"), (F.count("*") * len(columns)).alias("n_cells"))
+    return whole.select(F.to_json(F.struct(F.lit(key).alias("key"), F.lit(title).alias("title"), F.array(*map(F.lit, columns)).alias("columns"), "rows", "n_missing_cells", "n_cells")).alias("document"))
 
 
 def latex(rows: list[tuple], columns: list[str]) -> str:

@@ -235,9 +235,13 @@ def near_dup_greedy(spark, sf_dir):
     return dedup.accept_texts(save(grams_of_documents(spark, sf_dir), "greedy-grams"), save)
 
 
-@query("""select doc_id, len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) as cjk, len(regexp_extract_all(t, '[A-Za-z]')) as latin, len(regexp_extract_all(t, '[0-9]')) as digit from (select doc_id, coalesce(text, '') as t from documents)""")
+MARKS = PUNCT + text.CJK_PUNCTUATION.replace("　", "").replace("'", "''")
+
+
+@query(f"""with c as (select doc_id, length(t) as n, len(regexp_extract_all(t, '[\\x{{4e00}}-\\x{{9fff}}]')) as cjk, len(regexp_extract_all(t, '[A-Za-z]')) as latin, len(regexp_extract_all(t, '[0-9]')) as digit,
+length(t) - length(translate(t, '{MARKS}', '')) as punct, len(regexp_extract_all(t, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]')) as space from (select doc_id, coalesce(text, '') as t from documents)) select doc_id, cjk, latin, digit, punct, space, n - cjk - latin - digit - punct - space as other from c""")
 def script_profile(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.script_profile(F.col("text")).alias("p")).select("doc_id", "p.cjk", "p.latin", "p.digit")
+    return read(spark, sf_dir, "documents").select("doc_id", text.script_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
 @query("select 'c2a1a0f12d' as fingerprint")
@@ -429,14 +433,26 @@ GENDERS, PITCHES, ENERGIES = ["female", "male"], ["low", "middle", "bright"], ["
 def inventory_rows(spark: SparkSession) -> DataFrame:
     i = F.col("id").cast("int")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values)).cast("int") + 1)
-    return spark.range(32).select(i.alias("n"), F.format_string("SPK%02d", i).alias("speaker_id"), pick(GENDERS, i).alias("gender"), pick(["young", "middle", "old"], i).alias("age"), pick(PITCHES, F.floor(i / 3)).alias("pitch"), pick(["a0", "a1", "a2", "a3"], i * 3).alias("accent"), pick(ENERGIES, F.floor(i / 4)).alias("energy"))
+    return spark.range(32).select(i.alias("n"), F.format_string("SPK%02d", i).alias("speaker_id"), pick(GENDERS, i).alias("gender"), pick(["young", "middle", "old"], i).alias("age"), pick(["slow", "medium", "fast"], F.floor(i / 2)).alias("rate"), pick(PITCHES, F.floor(i / 3)).alias("pitch"), pick(["a0", "a1", "a2", "a3"], i * 3).alias("accent"), pick(ENERGIES, F.floor(i / 4)).alias("energy"))
 
 
-@query("""select i as n, format('SPK{:02d}', i) as speaker_id, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch, ['a0', 'a1', 'a2', 'a3'][(i * 3) % 4 + 1] as accent, ['even', 'mild', 'strong'][(i // 4) % 3 + 1] as energy from range(32) t(i)""")
+@query("""select i as n, format('SPK{:02d}', i) as speaker_id, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['slow', 'medium', 'fast'][(i // 2) % 3 + 1] as rate, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch, ['a0', 'a1', 'a2', 'a3'][(i * 3) % 4 + 1] as accent, ['even', 'mild', 'strong'][(i // 4) % 3 + 1] as energy from range(32) t(i)""")
 def speaker_inventory(spark, sf_dir):
     return inventory_rows(spark)
 
 
+@query("""with i as (select i, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['slow', 'medium', 'fast'][(i // 2) % 3 + 1] as rate, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch, ['a0', 'a1', 'a2', 'a3'][(i * 3) % 4 + 1] as accent, ['even', 'mild', 'strong'][(i // 4) % 3 + 1] as energy,
+case when i < 20 then 'train' when i < 26 then 'dev' else 'test' end as pool from range(32) t(i)), a as (select pool, unnest([{'attribute': 'gender', 'value': gender}, {'attribute': 'age', 'value': age}, {'attribute': 'rate', 'value': rate}, {'attribute': 'pitch', 'value': pitch}, {'attribute': 'accent', 'value': accent}, {'attribute': 'energy', 'value': energy}], recursive := true) from i)
+select coalesce(pool, 'all') as pool, attribute, value, count(*) as n from a where true group by grouping sets ((attribute, value), (pool, attribute, value)) having grouping(pool) = 1 or attribute in ('gender', 'age', 'accent')""")
+def inventory_report(spark, sf_dir):
+    """Voices by six attributes, and in each pool by three."""
+    voices = inventory_rows(spark).withColumn("pool", F.when(F.col("n") < 20, "train").when(F.col("n") < 26, "dev").otherwise("test"))
+    whole = validate.counts_by(voices, ["gender", "age", "rate", "pitch", "accent", "energy"]).withColumn("pool", F.lit("all"))
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("gender", "age", "accent"))))
+    by_pool = voices.select("pool", cells.alias("d")).groupBy("pool", "d.dimension", "d.value").agg(F.count("*").alias("n"))
+    return whole.unionByName(by_pool).withColumnRenamed("dimension", "attribute")
+
+
 @query("""with p as (select p_partkey as id, concat('{', replace(p_brand, '#', '_'), '} is {', split_part(p_type, ' ', 1), '} and {', split_part(p_type, ' ', 1), '2}') as pattern, p_brand as family_id, split_part(p_type, ' ', 1) as category from part),
 s as (select distinct id, unnest(regexp_extract_all(pattern, '\\{(\\w+)\\}', 1)) as slot from p) select category, family_id, cast(sum(c) as bigint) as capacity, count(*) as n_patterns from (select id, cast(product(length(slot)) as bigint) as c from s group by id) join p using (id) group by all""")
 def template_capacity(spark, sf_dir):
@@ -453,9 +469,11 @@ def mixed_radix_decode(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", templates.decode(F.col("o_orderkey") % 105, F.array(F.lit(3).cast("long"), F.lit(5).cast("long"), F.lit(7).cast("long"))).alias("digits"))
 
 
-@query("""with arms(arm, learning_rate) as (values ('full', 2e-5::double), ('textlora', 1e-4::double), ('audiolora', 1e-4::double), ('proj', 1e-3::double)), budgets(budget, epochs) as (values ('1h', 3), ('5h', 3), ('10h', 2), ('20h', 2)),
-g as (select *, 42 as seed from arms, budgets union all select *, unnest([43, 44]) from arms, budgets where arm = 'full' and budget = '1h')
-select arm, learning_rate, budget, epochs, seed, concat('base1_', arm, '_', budget, case when seed <> 42 then concat('_seed', seed) else '' end) as name from g""")
+@query("""with g(phase, model, arm, budget, augmented, replay, seed) as (select '8', 'qwen06', 'zero', null, false, false, 42 union all select '15', 'qwen17', 'zero', null, false, false, 42
+union all select '10', 'qwen06', unnest(['full', 'audiolora', 'proj', 'textlora', 'audiolora_proj', 'textlora_proj', 'dualpeft']), '20h', false, false, 42 union all select '12', 'qwen06', a, b, false, false, 42 from (select unnest(['full', 'textlora', 'dualpeft']) as a), (select unnest(['1h', '5h', '10h']) as b)
+union all select '13', 'qwen06', 'dualpeft', '20h', true, false, 42 union all select '14', 'qwen06', 'dualpeft', '20h', false, true, 42 union all select '15', 'qwen17', unnest(['dualpeft', 'full']), '20h', false, false, 42 union all select '17', 'qwen06', a, '1h', false, false, s from (select unnest(['textlora', 'dualpeft']) as a), (select unnest([123, 2026]) as s))
+select *, concat(model, '_', arm, coalesce('_' || budget, ''), case when augmented then '_aug' else '' end, case when replay then '_replay' else '' end, case when seed <> 42 then concat('_seed', seed) else '' end) as name, case when arm = 'full' then 2e-5::double else 1e-4::double end as learning_rate,
+case budget when '1h' then 3 when '5h' then 2 else 1 end as epochs, arm = 'full' as gradient_checkpointing, case when arm <> 'zero' then concat('data/manifests/train_', budget, case when replay then '_replay' when augmented then '_aug' else '' end, '.jsonl') end as train_manifest from g""")
 def config_grid(spark, sf_dir):
     return report.config_grid(spark)
 
@@ -482,9 +500,15 @@ def missing_cells(spark, sf_dir):
     return report.missing_cells(pivot_report_xx(spark, sf_dir), ["src0", "src1", "src2"])
 
 
-@query("select doc_id, concat('SCR-', source, '-', substr(sha1(text), 1, 12)) as script_id from documents")
+@query("""select doc_id, script_id, concat(script_id, '_SPK', lpad(cast(doc_id % 32 as varchar), 2, '0')) as utt_id, concat('aishell_', stem) as public_id, nullif(regexp_extract(stem, 'S[0-9]{4}', 0), '') as public_speaker
+from (select doc_id, concat('SCR-', source, '-', substr(sha1(text), 1, 12)) as script_id, concat('BAC009S', lpad(cast(doc_id % 10007 as varchar), 4, '0'), 'W', doc_id) as stem from documents)""")
 def id_construction(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("SCR-"), "source", F.lit("-"), F.substring(F.sha1("text"), 1, 12)).alias("script_id"))
+    """Ids of scripts, of their renderings by a voice, and of public recordings with the speaker that a file name tells."""
+    script = F.concat(F.lit("SCR-"), "source", F.lit("-"), F.substring(F.sha1("text"), 1, 12))
+    stem = F.concat(F.lit("BAC009S"), F.lpad((F.col("doc_id") % 10007).cast("string"), 4, "0"), F.lit("W"), F.col("doc_id").cast("string"))
+    ids = read(spark, sf_dir, "documents").select("doc_id", script.alias("script_id"), stem.alias("stem"))
+    voice = F.concat(F.lit("_SPK"), F.lpad((F.col("doc_id") % 32).cast("string"), 2, "0"))
+    return ids.select("doc_id", "script_id", F.concat("script_id", voice).alias("utt_id"), F.concat(F.lit("aishell_"), "stem").alias("public_id"), F.nullif(F.regexp_extract("stem", "S[0-9]{4}", 0), F.lit("")).alias("public_speaker"))
 
 
 @query("select page_id, case when contains(url, 'casino') or contains(url, 'bets') then 'gambling' when contains(url, 'pills') then 'pharmacy' when contains(url, '/blog') or contains(url, 'blog.') then 'blog' else 'other' end as kind from pages")
@@ -511,10 +535,15 @@ def identity_cohesion(spark, sf_dir):
     return out.select("label", "n", F.round((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_within"))
 
 
-@query()
+@query(f"""with u as (select vec_id, cast(label as varchar) as label, {V} as e from embeddings where label is not null and list_dot_product({V}, {V}) > 0),
+p as (select a.label as l, b.label as m, list_cosine_similarity(a.e, b.e) as c from u a join u b on a.vec_id < b.vec_id), n as (select label, count(*) as n from u group by 1)
+select label, n, round((select avg(c) from p where l = label and m = label), 6) as mean_within, round((select min(c) from p where l = label and m = label), 6) as min_within, null::double as mean_between,
+round((select max(c) from p where l <> m and (l = label or m = label)), 6) as max_between, null::double as separability from n
+union all select null, (select count(*) from u), round(avg(c) filter (l = m), 6), round(min(c) filter (l = m), 6), round(avg(c) filter (l <> m), 6), round(max(c) filter (l <> m), 6), round(avg(c) filter (l = m) - avg(c) filter (l <> m), 6) from p""")
 def identity_separability(spark, sf_dir):
     """Cosines within and between labels: for each label the mean and least within; overall also the mean and greatest between, and within less between."""
-    return rounded(arrays.separability(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"), "mean_within", "min_within", "mean_between", "max_between", "separability")
+    out = arrays.separability(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_within", "min_within", "mean_between", "max_between", "separability")})
 
 
 @query(f"""with q as (select vec_id, {V} as e from embeddings where vec_id % 100 = 0), c as (select vec_id, {V} as e from embeddings)
@@ -637,3 +666,29 @@ def eval_document(spark, sf_dir):
 def conversation_profile(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.max(F.char_length("text")).cast("long").alias("longest"))
     return rows.where("n_user < n_turns")
+
+
+@query("""select lang as category, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 2) as pct, count(distinct source) as n_families from documents group by lang""")
+def category_shares(spark, sf_dir):
+    """Rows, their share and families of each category."""
+    docs = read(spark, sf_dir, "documents")
+    counts = docs.groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_families"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.join(F.broadcast(total)).select("category", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"), "n_families")
+
+
+@query("select doc_id from documents order by md5(concat('42|', doc_id)), doc_id limit 100")
+def seeded_subsample(spark, sf_dir):
+    return sampling.subsample(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100)
+
+
+@query("select doc_id from documents order by doc_id limit 50")
+def head_after_sort(spark, sf_dir):
+    return sampling.first_rows(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 50)
+
+
+@query("""with r as (select n_regionkey as category, n_name, row_number() over (partition by n_regionkey order by n_name) as r from nation), p as (select *, unnest(range(2)) as pass from r)
+select category, n_name, cast(row_number() over (order by pass, r, category) - 1 as int) as turn from p order by pass, r, category limit 40""")
+def category_cycling_again(spark, sf_dir):
+    """40 of 25 nations, a region in turn: it begins again when all have been taken."""
+    return sampling.in_turn(read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("category"), "n_name"), "category", ["n_name"], 40)

@@ -31,10 +31,10 @@ PREDICTION = schema_of(
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, and a malformed line ends the read with its text."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    parsed = raw.select("value", F.from_json("value", T.StructType(schema.fields + [T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    checked = F.when(F.col("r._bad").isNotNull(), F.raise_error(F.concat(F.lit("malformed line: "), F.col("value")))).otherwise(F.col("r"))
+    """Rows of JSON-lines files; blank lines are skipped, and a malformed line ends the read with its file and text."""
+    raw = spark.read.text(path).withColumn("file", F.col("_metadata.file_path")).where(F.trim("value") != "")
+    parsed = raw.select("file", "value", F.from_json("value", T.StructType(schema.fields + [T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    checked = F.when(F.col("r._bad").isNotNull(), F.raise_error(F.concat(F.lit("malformed line in "), F.col("file"), F.lit(": "), F.col("value")))).otherwise(F.col("r"))
     return parsed.select(checked.alias("r")).select("r.*").drop("_bad")
 
 
@@ -56,14 +56,31 @@ def read_shards(spark: SparkSession, folder: str, split: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{split}-*.parquet").select("*", F.col("audio.path").alias("audio_path"), F.col("audio.bytes").alias("audio_bytes")).drop("audio")
 
 
+TRAINED = "trainable_parameters long, total_parameters long, trainable_percentage double"
+GROUPS = "map<string,struct<n_utterances:long,cer:double,macro_cer:double>>"
+
+
 def read_experiments(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each experiment and test set, metrics null where an experiment has none."""
-    trained = spark.read.schema("experiment string, trainable_parameters long, total_parameters long, gpu_hours double").json(f"{folder}/*/metrics.json", multiLine=True)
-    trained = trained.withColumn("experiment", F.regexp_extract("_metadata.file_path", r"([^/]+)/metrics\.json$", 1))
-    tests = spark.read.schema("overall struct<cer:double,macro_cer:double,n_utterances:int>").json(f"{folder}/*/test_*/metrics.json", multiLine=True)
-    path = r"([^/]+)/test_([^/]+)/metrics\.json$"
-    tests = tests.select(F.regexp_extract("_metadata.file_path", path, 1).alias("experiment"), F.regexp_extract("_metadata.file_path", path, 2).alias("test_set"), "overall.*")
-    return trained.join(tests, "experiment", "left")
+    """A row for each experiment and test set below a folder, and one without a test set for experiments that have none.
+
+    Names that don't parse are left out. Training measures come from <experiment>/metrics.json, or else from
+    trainable_parameters.json beside it; evaluations from <experiment>/<test set>/metrics.json with an overall part.
+    What a file lacks is null, and a file that is no JSON counts as missing.
+    """
+    from corvane.operators.report import parse_names
+
+    here = lambda pattern, schema: spark.read.schema(schema).option("mode", "PERMISSIVE").json(f"{folder}/{pattern}", multiLine=True)
+    named = lambda df, depth: df.withColumn("experiment", F.element_at(F.split("_metadata.file_path", "/"), -depth))
+    tests = here("*/*/metrics.json", f"overall struct<cer:double,macro_cer:double,n_utterances:long,substitutions:long,deletions:long,insertions:long>, medical_terms struct<medical_term_error_rate:double,medical_entity_recall:double,utterance_exact_match:double,by_term_category:map<string,struct<n_reference_terms:long,n_matched_terms:long,term_error_rate:double>>>, by_condition {GROUPS}, by_domain_category {GROUPS}, meta struct<real_time_factor:double>")
+    file = F.col("_metadata.file_path")
+    tests = named(tests.where("overall is not null").withColumns({"test_set": F.element_at(F.split(file, "/"), -2), "predictions_path": F.regexp_replace(file, "metrics\\.json$", "predictions.jsonl")}), 3).where("test_set <> 'checkpoints'")
+    tests = tests.select("experiment", "test_set", "overall.*", "medical_terms.medical_term_error_rate", "medical_terms.medical_entity_recall", "medical_terms.utterance_exact_match", "by_condition", "by_domain_category", "medical_terms.by_term_category", "meta.real_time_factor", "predictions_path")
+    own = named(here("*/metrics.json", f"{TRAINED}, peak_vram_gib double, gpu_hours double, train_hours_audio double"), 2)
+    beside = named(spark.read.schema(TRAINED).json(folder, multiLine=True, recursiveFileLookup=True, pathGlobFilter="trainable_parameters.json"), 2).select("experiment", *(F.col(c.split()[0]).alias(f"_{c.split()[0]}") for c in TRAINED.split(", ")))
+    names = own.select("experiment").unionByName(beside.select("experiment")).unionByName(tests.select("experiment")).distinct()
+    trained = names.join(own, "experiment", "left").join(beside, "experiment", "left")
+    trained = trained.withColumns({c.split()[0]: F.coalesce(c.split()[0], f"_{c.split()[0]}") for c in TRAINED.split(", ")}).drop(*(f"_{c.split()[0]}" for c in TRAINED.split(", ")))
+    return parse_names(trained.join(tests, "experiment", "left"), "experiment")
 
 
 def decode_wav(content: bytes, rate: int = 16000) -> np.ndarray:

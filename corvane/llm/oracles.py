@@ -44,4 +44,19 @@ items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join items using (doc_id)"""
 
-SQL = {"op2_exact_topk": OP2, "op3_chat_format": OP3, "op5_substring_dedup": OP5, "op6_url_filter": OP6, "op10_decontaminate": OP10}
+OP1 = f"""with recursive w as (select doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents where doc_id is not null),
+s as (select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from w), t as (select doc_id, unnest(s) as t from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from t a join t b using (t) where a.doc_id < b.doc_id group by all),
+l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * c >= 80 * (len(x.s) + len(y.s) - c)), e as (select a, b from l union all select b, a from l),
+r as (select doc_id as node, doc_id as reached from w union select r.node, e.b from r join e on r.reached = e.a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, (select min(reached) from r where node = s.doc_id) as component_id, s.doc_id = (select min(reached) from r where node = s.doc_id) as kept from s"""
+
+OP8 = """with h as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents where doc_id is not null), p as (select doc_id, unnest(range(0, length(h) // 2 - 399)) as s, h from h where length(h) >= 800),
+f as (select doc_id, s, md5(substr(h, 2 * s + 1, 800)) as f from p), m as (select f from f group by f having count(*) > 1), g as (select distinct doc_id, s from f join m using (f)),
+e as (select doc_id, s, case when s > 400 + lag(s, 1, -1000) over (partition by doc_id order by s) then 1 else 0 end as fresh from g),
+i as (select doc_id, min(s) as a, max(s) + 400 as b from (select *, sum(fresh) over (partition by doc_id order by s) as k from e) group by doc_id, k),
+k as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as before from i),
+t as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || max(substr(h, 2 * last + 1)) as kept from (select k.*, h, max(b) over (partition by doc_id) as last from k join h using (doc_id)) group by doc_id)
+select h.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from h left join t using (doc_id)"""
+
+SQL = {"op1_minhash_near_dedup": OP1, "op8_suffix_dedup": OP8, "op2_exact_topk": OP2, "op3_chat_format": OP3, "op5_substring_dedup": OP5, "op6_url_filter": OP6, "op10_decontaminate": OP10}

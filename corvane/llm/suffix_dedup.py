@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +38,39 @@ def double_ranks(positions: DataFrame, length: int, name: str = "suffix") -> Dat
             return current.select("doc_id", "at", "len")
 
 
-def find_repeats(docs: DataFrame, length: int = 400, sample: int = 272) -> DataFrame:
+def ranked_positions(docs: DataFrame, length: int, first: int = 8) -> DataFrame:
+    """doc_id, at of every byte position whose string of `length` bytes starts at another position too, by prefix doubling alone.
+
+    The first rank of a position is the value of its first `first` bytes. In each round Spark sorts the pairs of a
+    position's rank and the rank `offset` bytes on, and the pairs that stand for several positions get new ranks in
+    that order; a position whose pair is its own goes, since no longer string there can recur. Offsets double, and the
+    last one is what lacks to `length`. Two strings that overlap by less than their length say all bytes between.
+    """
+    spark = docs.sparkSession
+
+    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, text in zip(batch.doc_id, batch.text):
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                if len(raw) >= length:
+                    windows = np.lib.stride_tricks.sliding_window_view(raw, first)
+                    values = np.ascontiguousarray(windows).view(">i8").ravel().astype(np.int64)
+                    yield pd.DataFrame({"doc_id": np.full(len(values), doc_id), "at": np.arange(len(values), dtype=np.int32), "r": values})
+
+    current, size = cut(docs.select("doc_id", "text").mapInPandas(positions, "doc_id long, at int, r long"), "suffix-ranks"), first
+    while size < length:
+        offset = min(size, length - size)
+        ahead = current.select("doc_id", (F.col("at") - offset).alias("at"), F.col("r").alias("r_2"))
+        pairs = cut(current.join(ahead, ["doc_id", "at"]), "suffix-pairs")
+        again = pairs.groupBy("r", "r_2").agg(F.count("*").alias("n")).where("n > 1")
+        ranks = cut(again.orderBy("r", "r_2").select("r", "r_2", F.monotonically_increasing_id().alias("rank")), "suffix-reranked")
+        before, current = current, cut(pairs.join(ranks, ["r", "r_2"]).select("doc_id", "at", F.col("rank").alias("r")), "suffix-ranks")
+        forget(spark, before, pairs, ranks)
+        size += offset
+    return current.select("doc_id", "at")
+
+
+def find_repeats(docs: DataFrame, length: int = 400, sample: int = 272, every_byte: bool = False) -> DataFrame:
     """Bytes covered by a string of `length` bytes that starts at another place too, in any document or the same.
 
     Prefix doubling runs over sampled positions: of each `length` bytes winnowing picks one run of `sample` bytes by
@@ -42,6 +79,8 @@ def find_repeats(docs: DataFrame, length: int = 400, sample: int = 272) -> DataF
     leaves open, strings that reach beyond the last sampled position of a repeat, is settled by fingerprints of the
     strings around those positions. Matches never cross documents; they are judged on the input.
 
+    every_byte: doubling over every position decides alone, with the same result and many times the shuffle.
+
     A null or empty text has no bytes. Rows without doc_id are left out; of rows
     that share a doc_id the one with the least text counts; other columns are ignored.
 
@@ -49,6 +88,11 @@ def find_repeats(docs: DataFrame, length: int = 400, sample: int = 272) -> DataF
     """
     docs = one_row_each(docs, "text")
     base = repeats.scan(docs, "bytes", length, sample, "suffix")
+    if every_byte:
+        starts = cut(ranked_positions(docs, length).withColumnRenamed("at", "start"), "suffix-starts")
+        none = F.array().cast("array<int>")
+        texts = docs.join(starts.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(_packed, "doc_id long, body binary").withColumns({"starts": none, "ends": none})
+        return _told(repeats.kept(texts, base, starts, "bytes", length))
     rows = repeats.anchor_rows(base)
     shared = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = cut(shared, "suffix-shared")
@@ -57,5 +101,15 @@ def find_repeats(docs: DataFrame, length: int = 400, sample: int = 272) -> DataF
     spans = covered.groupBy("doc_id").agg(F.collect_list("at").alias("starts"), F.collect_list(F.col("at") + F.col("len")).alias("ends"))
     texts = repeats.follow_up(docs, sampled.select("doc_id", "ord"), "bytes", length, sample, "suffix", spans)
     starts = repeats.repeated_starts(texts, "bytes", length, sample, False, "suffix")
-    out = repeats.kept(texts, base, starts, "bytes", length)
-    return out.select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
+    return _told(repeats.kept(texts, base, starts, "bytes", length))
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        yield pd.DataFrame({"doc_id": batch.doc_id, "body": [pack.compress((t or "").encode()) for t in batch.text]})
+
+
+def _told(out: DataFrame) -> DataFrame:
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("doc_id", F.col("n").alias("n_bytes"), zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")

@@ -196,6 +196,10 @@ def test_byte_repeats(spark, texts):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.find_repeats(docs).collect()}
         assert got == brute.byte_repeats(plain)
     assert suffix_dedup.find_repeats(empty(spark)).count() == 0
+    # doubling over every position decides alone
+    small = awkward(spark).where("doc_id <> 10 or doc_id is null")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.find_repeats(small, every_byte=True).collect()}
+    assert got == brute.byte_repeats({d: t for d, t in as_dict(spark).items() if d != 10})
 
 
 def test_urls(spark):

@@ -19,15 +19,15 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a shard, islands that evolve packings of the same shard, and individuals and generations of an
 #: island, and the emptiest bins that a crossover dissolves at most.
-SHARD, ISLANDS, POPULATION, GENERATIONS, DISSOLVED = 8192, 2, 8, 80, 6
+SHARD, ISLANDS, POPULATION, GENERATIONS, DISSOLVED = 8192, 2, 8, 36, 6
 SEQUENCES_A_SHARD = 1 << 24
 
 # What the vocabulary's own pre-tokenizer splits on, for lower-cased text in Latin letters; see encoder().
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 CONTROL_SPACES = re.compile("[\x1c-\x1f]")
-#: Words whose ids a worker keeps; about 50 MB.
-KEPT_WORDS = 250_000
+#: Words whose ids a worker keeps; about 80 MB.
+KEPT_WORDS = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,10 +63,12 @@ class _Encoder:
         model = self.tokenizer.model.tokenize
         plain, parts, ids = PLAIN.fullmatch, PART.findall, self._ids
 
+        def tokens(part: str) -> bytes:
+            return array.array("I", [t.id for t in model(part)]).tobytes()
+
         class Parts(dict):
             def __missing__(self, part: str) -> bytes:
-                known = part if part.isascii() else part.encode().decode("latin-1").translate(letters)
-                self[part] = out = array.array("I", [t.id for t in model(known)]).tobytes()
+                self[part] = out = tokens(part if part.isascii() else part.encode().decode("latin-1").translate(letters))
                 return out
 
         held = Parts()
@@ -75,7 +77,14 @@ class _Encoder:
             def __missing__(self, word: str) -> bytes:
                 if len(self) > KEPT_WORDS:
                     self.clear(), held.clear()
-                self[word] = out = b"".join([held[p] for p in parts(word.lower())]) if plain(word) and "<|" not in word else ids(word)
+                if word.isascii() and word.isalpha():  # one part
+                    low = word.lower()
+                    out = tokens(word) if low == word else self[low]
+                elif plain(word) and "<|" not in word:
+                    out = b"".join([self[p] if p.isascii() and p.isalpha() else held[p] for p in parts(word.lower())])
+                else:
+                    out = ids(word)
+                self[word] = out
                 return out
 
         self.words = Words()

@@ -537,13 +537,13 @@ def identity_cohesion(spark, sf_dir):
 
 @query(f"""with u as (select vec_id, cast(label as varchar) as label, {V} as e from embeddings where label is not null and list_dot_product({V}, {V}) > 0),
 p as (select a.label as l, b.label as m, list_cosine_similarity(a.e, b.e) as c from u a join u b on a.vec_id < b.vec_id), n as (select label, count(*) as n from u group by 1)
-select label, n, round((select avg(c) from p where l = label and m = label), 6) as mean_within, round((select min(c) from p where l = label and m = label), 6) as min_within, null::double as mean_between,
-round((select max(c) from p where l <> m and (l = label or m = label)), 6) as max_between, null::double as separability from n
-union all select null, (select count(*) from u), round(avg(c) filter (l = m), 6), round(min(c) filter (l = m), 6), round(avg(c) filter (l <> m), 6), round(max(c) filter (l <> m), 6), round(avg(c) filter (l = m) - avg(c) filter (l <> m), 6) from p""")
+select label, n, round((select avg(c) from p where l = label and m = label), 9) as mean_within, round((select min(c) from p where l = label and m = label), 9) as min_within, null::double as mean_between,
+round((select max(c) from p where l <> m and (l = label or m = label)), 9) as max_between, null::double as separability from n
+union all select null, (select count(*) from u), round(avg(c) filter (l = m), 9), round(min(c) filter (l = m), 9), round(avg(c) filter (l <> m), 9), round(max(c) filter (l <> m), 9), round(avg(c) filter (l = m) - avg(c) filter (l <> m), 9) from p""")
 def identity_separability(spark, sf_dir):
     """Cosines within and between labels: for each label the mean and least within; overall also the mean and greatest between, and within less between."""
     out = arrays.separability(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
-    return out.withColumns({c: F.round(c, 6) for c in ("mean_within", "min_within", "mean_between", "max_between", "separability")})
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_within", "min_within", "mean_between", "max_between", "separability")})
 
 
 @query(f"""with q as (select vec_id, {V} as e from embeddings where vec_id % 100 = 0), c as (select vec_id, {V} as e from embeddings)

@@ -105,19 +105,22 @@ def bootstrap_lcg(pairs: DataFrame, replicates: int, a: int = 7919, b: int = 104
     pairs: number (0 to n - 1), distance_a, distance_b, reference_length. Draw i of replicate r is row
     (a * r + b * i + c * r * i) mod n, so that SQL can draw the same rows. No draw is made: i goes through a residue
     class modulo g, the greatest common divisor of n and b + c * r, so row x is drawn g times if x - a * r is divisible
-    by g and never if not, and each replicate is one aggregation over the rows of its class.
+    by g and never if not. Rows are summed by residue class once for each g that occurs, a divisor of n.
     """
     n = pairs.count()
-    rules = [(r, a * r % n, math.gcd((b + c * r) % n, n)) for r in range(replicates)] if n else []
-    each = F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(k) for k, x in zip(("replicate", "s", "g"), rule))) for rule in rules)) if rules else F.array().cast("array<struct<replicate:long,s:long,g:long>>"))
-    drawn = pairs.select("number", "distance_a", "distance_b", "reference_length", each.alias("d")).where(F.pmod(F.col("number") - F.col("d.s"), F.col("d.g")) == 0)
-    sums = drawn.groupBy("d.replicate").agg(*(F.sum(F.col(x) * F.col("d.g")).alias(x) for x in ("distance_a", "distance_b", "reference_length")))
-    return sums.select("replicate", ((F.col("distance_a") - F.col("distance_b")) / F.col("reference_length")).alias("diff"))
+    if not n:
+        return pairs.sparkSession.createDataFrame([], "replicate long, diff double")
+    steps = [math.gcd((b + c * r) % n, n) for r in range(replicates)]
+    rules = pairs.sparkSession.createDataFrame([(r, g, a * r % n % g) for r, g in enumerate(steps)], "replicate long, g long, residue long")
+    kinds = pairs.select("number", "distance_a", "distance_b", "reference_length", F.explode(F.array(*(F.lit(g).cast("long") for g in sorted(set(steps))))).alias("g"))
+    classes = kinds.groupBy("g", F.pmod(F.col("number"), F.col("g")).alias("residue")).agg(*(F.sum(x).alias(x) for x in ("distance_a", "distance_b", "reference_length")))
+    drawn = rules.join(classes, ["g", "residue"])  # g cancels: every row of the class is drawn as often
+    return drawn.select("replicate", ((F.col("distance_a") - F.col("distance_b")) / F.col("reference_length")).alias("diff"))
 
 
 def _poisson_weights(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
     """A Poisson(1) draw for each replicate and key, by hashing both: the same wherever a row is."""
-    x = keys[None, :] + (replicates[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03)
+    x = keys[None, :] + (replicates[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53

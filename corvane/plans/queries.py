@@ -211,7 +211,7 @@ union all select x.id, y.id, round(len(list_intersect(x.g, y.g)) / (len(x.g) + l
 and least(len(x.g), len(y.g)) >= 0.9 * greatest(len(x.g), len(y.g)) where len(list_intersect(x.g, y.g)) >= 0.9 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))""")
 def near_dup_pairs(spark, sf_dir):
     """Pairs of titles whose trigram sets are 0.9 alike; of titles with equal sets, pairs with the first of them."""
-    return rounded(dedup.near_pairs(grams_of_titles(spark, sf_dir), save), "similarity")
+    return rounded(dedup.near_pairs(grams_of_titles(spark, sf_dir), save, candidates=dedup.banded_pairs), "similarity")
 
 
 def grams_of_documents(spark, sf_dir):

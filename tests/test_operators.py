@@ -1,6 +1,7 @@
 """Metrics, significance, sampling, validation, templates, dedup and files."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -59,8 +60,25 @@ def test_near_pairs(spark):
     grams = spark.createDataFrame(rows, "id long, t string").select("id", char_ngrams(F.col("t")).alias("grams"))
     sets = {i: {t[j : j + 3] for j in range(len(t) - 2)} for i, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])}
-    got = {(r.a, r.b) for r in dedup.near_pairs(grams, save).collect()}
-    assert got == {p for p in want if p[0] != 2} | {(1, 2)}
+    for candidates in dedup.prefix_pairs, dedup.banded_pairs:
+        got = {(r.a, r.b) for r in dedup.near_pairs(grams, save, candidates=candidates).collect()}
+        assert got == {p for p in want if p[0] != 2} | {(1, 2)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9, 1.0])
+def test_prefix_pairs_leave_out_nothing(spark, threshold):
+    """Sets of all sizes around the threshold, equal and empty ones, against every pair."""
+    draw, sets = random.Random(4), {}
+    for i in range(120):
+        start = sets[draw.randrange(i)] if i > 10 else set()
+        sets[i] = {g for g in start if draw.random() > 0.06} | {f"g{draw.randrange(60)}" for _ in range(draw.randrange(6))}
+    sets |= {200: set(), 201: set(), 202: {f"g{i}" for i in range(8)}, 203: {f"g{i}" for i in range(4)}, 204: sets[100]}
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    alike = lambda x, y: len(x & y) >= threshold * len(x | y) and bool(x)
+    want = {(a, b) for a in sets for b in sets if a < b and (first[b] == a or first[a] == a and first[b] == b and alike(sets[a], sets[b]))}
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, grams array<string>")
+    assert {(r.a, r.b) for r in dedup.near_pairs(frame, save, threshold).collect()} == want
+    assert dedup.near_pairs(frame.limit(0), save, threshold).count() == 0
 
 
 def test_split_and_quota(spark):

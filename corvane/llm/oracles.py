@@ -59,4 +59,17 @@ k as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as
 t as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || max(substr(h, 2 * last + 1)) as kept from (select k.*, h, max(b) over (partition by doc_id) as last from k join h using (doc_id)) group by doc_id)
 select h.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from h left join t using (doc_id)"""
 
-SQL = {"op1_minhash_near_dedup": OP1, "op8_suffix_dedup": OP8, "op2_exact_topk": OP2, "op3_chat_format": OP3, "op5_substring_dedup": OP5, "op6_url_filter": OP6, "op10_decontaminate": OP10}
+# crc32 byte by byte, over a table that the polynomial makes
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i))"
+CRC = "xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: 16 * strpos('123456789ABCDEF', h[i]) + strpos('123456789ABCDEF', h[i + 1])), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+OP13 = f"""with d as (select doc_id, {NORMAL} as w from documents where doc_id is not null), b as (select {NORMAL} as w from benchmark),
+df as (select doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from d), bf as (select unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from b),
+x as (select f, hex(encode(f)) as h, {CRC_TABLE} as crcs from (select f from df union select f from bf)), k as (select f, {CRC} % 10000 as bucket from x),
+s as (select bucket, count(*) as s from df join k using (f) group by bucket), t as (select bucket, count(*) as t from bf join k using (f) group by bucket),
+g as (select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from df) + 10000) / ((coalesce(s, 0) + 1)::double * ((select count(*) from bf) + 10000)))) as bigint) as gain from s full join t using (bucket)),
+w as (select doc_id, count(*) as n_features, cast(floor(sum(gain)::double / count(*)) as bigint) as weight from df join k using (f) join g using (bucket) group by doc_id),
+u as (select doc_id, len(d.w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, (('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double as u from d left join w using (doc_id)),
+v as (select *, weight + cast(floor(-1000 * ln(-ln(u))) as bigint) as score from u), r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from v where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 25 * (select count(*) from r) // 100 then rank end as rank from v left join r using (doc_id)"""
+
+SQL = {"op13_importance_resampling": OP13, "op1_minhash_near_dedup": OP1, "op8_suffix_dedup": OP8, "op2_exact_topk": OP2, "op3_chat_format": OP3, "op5_substring_dedup": OP5, "op6_url_filter": OP6, "op10_decontaminate": OP10}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 NORMAL_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -107,3 +108,23 @@ def contamination(docs: dict[int, str | None], items: dict[int, str | None], wid
                     found |= held
         out[d] = len(w), sum(hit), len(found), sha(",".join(sorted(map(str, found))))
     return out
+
+
+def resampled(docs: list[tuple[int, str | None]], target: list[str | None], percent: int = 25, min_words: int = 20) -> list[tuple]:
+    """(doc_id, n_features, weight, score, rank) of every row."""
+
+    def features(text):
+        w = NORMAL_WORDS.findall((text or "").translate(ASCII_LOWER))
+        return len(w), [zlib.crc32(f.encode()) % 10_000 for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    s, t = Counter(b for _, text in docs for b in features(text)[1]), Counter(b for text in target for b in features(text)[1])
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10_000) / ((s[b] + 1) * (t.total() + 10_000))))
+    rows = []
+    for d, text in docs:
+        n, held = features(text)
+        weight = sum(map(gain, held)) // len(held) if held else 0
+        h = int(sha(f"7:{d}")[:8], 16)
+        rows.append((n, d, len(held), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((-score, d) for n, d, _, _, score in rows if n >= min_words)
+    rank = {d: i + 1 for i, (_, d) in enumerate(able[: percent * len(able) // 100])}
+    return sorted((d, n, w, score, rank.get(d)) for _, d, n, w, score in rows)

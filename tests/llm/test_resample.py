@@ -56,7 +56,7 @@ def test_draws_follow_the_target(spark):
     mine, other = [f"m{i}" for i in range(40)], [f"o{i}" for i in range(40)]
     rows = [(i, " ".join(rng.choice(mine if i % 4 == 0 else other) for _ in range(40))) for i in range(400)]
     bench = spark.createDataFrame([(" ".join(mine),)], "text string")
-    out = resample.resample(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    out = resample.resample(spark.createDataFrame(rows, "doc_id long, text string"), bench, buckets=100).collect()
     drawn = [r.doc_id for r in out if r["rank"]]
     assert len(drawn) == 100 and sum(d % 4 == 0 for d in drawn) > 60
     assert sorted(r["rank"] for r in out if r["rank"]) == list(range(1, 101))
@@ -64,4 +64,4 @@ def test_draws_follow_the_target(spark):
 
 def test_gains_are_rounded_down():
     g = resample.gains(np.array([0, 9, 99]), np.array([5, 0, 0]))
-    assert g.tolist() == [4460, 365, -1938] or g.dtype == np.int64 and g[0] > 0 > g[2]
+    assert g.tolist() == [4421, 327, -1976]

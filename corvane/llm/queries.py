@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat_format, decontaminate, language_id, near_dedup, packing, resample, substring_dedup, suffix_dedup, topk_search, toxicity, url_filter
+from corvane.llm import alignment, chat_format, decontaminate, language_id, near_dedup, packing, resample, substring_dedup, suffix_dedup, topk_search, toxicity, url_filter
 from corvane.llm.shared import held_out, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -79,9 +79,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_topk, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_suffix_dedup, op9_toxicity, op10_decontaminate, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_topk, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_suffix_dedup, op9_toxicity, op10_decontaminate, op12_cross_tokenizer_alignment, op13_importance_resampling)}

@@ -128,3 +128,51 @@ def resampled(docs: list[tuple[int, str | None]], target: list[str | None], perc
     able = sorted((-score, d) for n, d, _, _, score in rows if n >= min_words)
     rank = {d: i + 1 for i, (_, d) in enumerate(able[: percent * len(able) // 100])}
     return sorted((d, n, w, score, rank.get(d)) for _, d, n, w, score in rows)
+
+
+def aligned(docs: list[tuple[int, str | None]], tokenizer, pieces) -> tuple[list[tuple], Counter]:
+    """Rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), and how many documents hold each pair."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    symbols = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    made, counts = [], Counter()
+    for d, text in docs:
+        raw = (" " + (text or "")).encode()
+        a = tokenizer.encode(" " + (text or ""), add_special_tokens=False)
+        b = pieces.encode(text or "")
+        bytes_a = [bytes(symbols[c] for c in t) for t in a.tokens]
+        bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode() for p in map(pieces.id_to_piece, b)]
+        if not text or b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+            made.append((d, None))
+            continue
+        spans = []
+        for parts in (bytes_a, bytes_b):
+            ends = [0]
+            for x in parts:
+                ends.append(ends[-1] + len(x))
+            spans.append(list(zip(ends, ends[1:])))
+        both = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups, links, at = [], [], [0, 0]
+        for end in both:
+            sides = []
+            for k, (ids, places) in enumerate(zip((a.ids, b), spans)):
+                inside = []
+                while at[k] < len(ids) and places[at[k]][1] <= end:
+                    inside.append(str(ids[at[k]]))
+                    at[k] += 1
+                sides.append(",".join(inside))
+            groups.append("|".join(sides))
+        j = 0
+        for i, (x, y) in zip(a.ids, spans[0]):
+            while spans[1][j][1] <= x:
+                j += 1
+            k = j
+            while k < len(b) and spans[1][k][0] < y:
+                links.append((i, b[k]))
+                k += 1
+        counts.update(set(links))
+        made.append((d, (len(a.ids), len(b), len(groups), links, sha(";".join(groups)))))
+    best = defaultdict(int)
+    for (i, _), n in counts.items():
+        best[i] = max(best[i], n)
+    rows = [(d, x[0], x[1], x[2], len(x[3]), sum(counts[p] == best[p[0]] for p in x[3]), sum(counts[p] for p in x[3]), x[4]) if x else (d, 0, 0, 0, 0, 0, 0, "") for d, x in made]
+    return rows, counts

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import alignment, chat_format, decontaminate, language_id, near_dedup, packing, resample, substring_dedup, suffix_dedup, topk_search, toxicity, url_filter
-from corvane.llm.shared import held_out, table
+from corvane.llm import alignment, chat_format, decontaminate, language_id, near_dedup, packing, quality, resample, substring_dedup, suffix_dedup, topk_search, toxicity, url_filter
+from corvane.llm.shared import cut, held_out, table
 
 VOCABULARY = "word_bpe_49k.json"
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -79,6 +79,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    rows = cut(quality.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "statistics"), "quality")
+    ensemble = quality.learn(rows, table(spark, sf_dir, "labels").where(rest() != 0))
+    return quality.score(rows, ensemble).select("doc_id", F.coalesce(rest() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
 
@@ -88,4 +95,4 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_topk, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_suffix_dedup, op9_toxicity, op10_decontaminate, op12_cross_tokenizer_alignment, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_topk, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_suffix_dedup, op9_toxicity, op10_decontaminate, op11_quality_rules, op12_cross_tokenizer_alignment, op13_importance_resampling)}

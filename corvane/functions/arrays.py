@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.sums import prefix_sums
+from corvane.sources.tables import save
+
 TINY = 1e-12
 SAMPLE_RATE = 16000
 #: Fixed limits of quality control: they aim at broken audio, not at hard audio.
@@ -130,6 +134,51 @@ def trim_silence(signals: pd.Series) -> pd.Series:
     return signals.map(lambda s: None if s is None else trimmed(s))
 
 
+def pitches(signal: np.ndarray, low: float = 60.0, high: float = 400.0, rate: int = SAMPLE_RATE, frame: int = 2048, dip: float = 0.1) -> np.ndarray:
+    """The pitch of each frame in Hz, by the YIN method; frames lie a quarter of their length apart, around every hop of the signal.
+
+    The squared difference between half a frame and the half that lies a lag later comes from energies and one
+    transform of all frames; it is divided by its mean over all smaller lags. The period is the first dip below `dip`, or
+    without one the lowest value, moved to the top of the parabola through its neighbours.
+    """
+    half = frame // 2
+    shortest, longest = max(1, int(rate // high)), min(math.ceil(rate / low), frame - half - 1)
+    padded = np.pad(np.asarray(signal, np.float64), half)
+    frames = np.lib.stride_tricks.sliding_window_view(padded, frame)[:: frame // 4]
+    size = 1 << (frame + half - 1).bit_length()
+    products = np.fft.irfft(np.fft.rfft(frames, size) * np.conj(np.fft.rfft(frames[:, :half], size)), size)[:, : longest + 1]
+    sums = np.concatenate([np.zeros((len(frames), 1)), np.cumsum(frames**2, axis=1)], axis=1)
+    energy = sums[:, half : half + longest + 1] - sums[:, : longest + 1]
+    difference = np.maximum(energy[:, :1] + energy - 2 * products, 0.0)
+    difference[difference < 1e-6] = 0.0
+    mean = np.cumsum(difference[:, 1:], axis=1) / np.arange(1, longest + 1)
+    shape = difference[:, shortest : longest + 1] / (mean[:, shortest - 1 :] + np.finfo(np.float64).tiny)
+    before, after = shape[:, :-2], shape[:, 2:]
+    lowest = np.zeros(shape.shape, bool)
+    lowest[:, 1:-1] = (shape[:, 1:-1] < before) & (shape[:, 1:-1] <= after)
+    lowest[:, 0] = shape[:, 0] < shape[:, 1]
+    dips = lowest & (shape < dip)
+    at = np.where(dips.any(axis=1), dips.argmax(axis=1), shape.argmin(axis=1))
+    bend, slope = before + after - 2 * shape[:, 1:-1], (after - before) / 2
+    shift = np.zeros(shape.shape)
+    np.divide(-slope, bend, out=shift[:, 1:-1], where=np.abs(slope) < np.abs(bend))
+    return rate / (shortest + at + shift[np.arange(len(at)), at])
+
+
+@F.pandas_udf(T.DoubleType())
+def median_pitch(signals: pd.Series) -> pd.Series:
+    """The median of the pitches of a signal's frames that lie between 60 and 400 Hz; null without one, or without a signal."""
+
+    def one(s) -> float | None:
+        if s is None or not len(s):
+            return None
+        found = pitches(s)
+        voiced = found[(found > 60.0) & (found < 400.0)]
+        return float(np.median(voiced)) if len(voiced) else None
+
+    return signals.map(one).astype("Float64")
+
+
 def qc_reasons(stats: dict[str, Column], limits: dict[str, float] | None = None) -> Column:
     """Why a waveform fails, as an array; empty if it passes. stats: columns by the names of measure() and silence_stats."""
     limits = QC_LIMITS | (limits or {})
@@ -153,39 +202,144 @@ def label_mask(ids: Column, supervised: Column, ignore: int = -100) -> Column:
     return F.transform(ids, lambda x, i: F.when((i < end) & (i >= end - supervised) & x.isNotNull(), x).otherwise(F.lit(ignore)))
 
 
-def separability(rows: DataFrame, key: str, label: str, vector: str, blocks: int = 16) -> DataFrame:
+#: Rows of a block of vectors, blocks of a group, and vectors that blocks are gathered around.
+BLOCK_ROWS, GROUP_BLOCKS, PIVOTS = 2048, 1024, 32
+
+
+def _blocks(units: DataFrame, rows: int) -> DataFrame:
+    """block, label, n, center, radius, vectors (float64 bytes): at most `rows` unit vectors of one label that are near each other.
+
+    Each vector goes to the nearest of a few, and stands there in the order of its nearness; blocks are cut off by place
+    in the order of all, so that neither a label nor a neighbourhood, however large, is a task or a block of its own.
+    """
+    few = np.array([r.v for r in units.orderBy(F.xxhash64("id"), "v").limit(PIVOTS).collect()])  # bounded
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = np.stack(batch.v.to_list()) @ few.T
+            yield batch.assign(pivot=near.argmax(axis=1).astype("int32"), nearness=near.max(axis=1))
+
+    placed = prefix_sums(units.mapInPandas(nearest, "id string, label string, v array<double>, pivot int, nearness double").withColumn("one", F.lit(1).cast("long")), "one", ["label", "pivot", "nearness", "id"])
+
+    def gathered(keys: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(batch.v.to_list())
+        center = v.sum(axis=0)
+        center = center / np.linalg.norm(center) if np.linalg.norm(center) > TINY else v[0]
+        radius = float(np.arccos(np.clip((v @ center).min(), -1, 1)))
+        return pd.DataFrame([(keys[0], keys[1], len(v), center, radius, v.tobytes())], columns=["label", "pivot", "n", "center", "radius", "vectors"])
+
+    cut = placed.withColumn("part", F.floor(F.col("before") / rows)).groupBy("label", "pivot", "part")
+    made = cut.applyInPandas(gathered, "label string, pivot int, n long, center array<double>, radius double, vectors binary")
+    return save(save(made, "blocks").withColumn("block", F.monotonically_increasing_id()), "numbered-blocks")
+
+
+def _pairs_of_blocks(metas: DataFrame, most: int | None) -> DataFrame:
+    """a, b, label, within, bound of pairs of blocks: no pair of vectors within their label lies below, or between labels above, the bound.
+
+    metas: block, label, n, center, radius, and what is known of the label: least (of pairs within) and greatest (between). With
+    `most` only the pairs with the most telling bounds of each label come back, that many; else all that could still
+    beat what is known. Groups of blocks meet groups of blocks, so that no block is a key of its own.
+    """
+    n = metas.count()
+    groups = max(1, -(-n // GROUP_BLOCKS))
+    grouped = metas.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    sides = [grouped.withColumn("l", F.col("group")).withColumn("r", F.explode(F.sequence(F.col("group"), F.lit(groups - 1)))), grouped.withColumn("r", F.col("group")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("group")))).toDF(*grouped.columns, "r", "l")]
+
+    def bounded(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["a", "b", "label", "within", "bound"]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=columns)
+        angle = np.arccos(np.clip(np.stack(left.center.to_list()) @ np.stack(right.center.to_list()).T, -1, 1))
+        reach = left.radius.to_numpy()[:, None] + right.radius.to_numpy()[None, :] + 1e-7
+        a, b = left.block.to_numpy()[:, None], right.block.to_numpy()[None, :]
+        same = left.label.to_numpy()[:, None] == right.label.to_numpy()[None, :]
+        once = (a <= b) if keys[0] == keys[1] else np.ones(same.shape, bool)
+        lone = (a == b) & (left.n.to_numpy()[:, None] < 2)
+        low, high = np.cos(np.minimum(np.pi, angle + reach)), np.cos(np.maximum(0, angle - reach))
+        inside, outside = once & same & ~lone, once & ~same
+        parts = []
+        for side, other in ((left, False), (right, True)):
+            known = lambda c: side[c].fillna(np.inf if c == "least" else -np.inf).to_numpy()  # noqa: B023, E731
+            wide = (lambda x: x[None, :]) if other else (lambda x: x[:, None])
+            for want, bound, within in ((inside & (low < wide(known("least"))), low, True), (outside & (high > wide(known("greatest"))), high, False)):
+                if within and other:
+                    continue
+                i, j = np.nonzero(want)
+                labels = side.label.to_numpy()[j if other else i]
+                part = pd.DataFrame({"a": a[i, 0], "b": b[0, j], "label": labels, "within": within, "bound": bound[i, j]})
+                if most:
+                    part = part.sort_values("bound", ascending=within).groupby("label").head(most)
+                parts.append(part)
+        return pd.concat(parts)[columns]
+
+    found = sides[0].groupBy("l", "r").cogroup(sides[1].groupBy("l", "r")).applyInPandas(bounded, "a long, b long, label string, within boolean, bound double")
+    if not most:
+        return found.select("a", "b").distinct()
+    best = F.min(F.struct(F.when(F.col("within"), F.col("bound")).otherwise(-F.col("bound")).alias("by"), "a", "b")).alias("p")
+    return found.groupBy("label", "within").agg(best).select("p.a", "p.b").distinct()
+
+
+def _compared(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """label, least, greatest over all vectors of the given pairs of blocks."""
+    side = lambda x: blocks.select(F.col("block").alias(x), F.col("label").alias(f"label_{x}"), F.col("vectors").alias(f"vectors_{x}"), F.size("center").alias(f"wide_{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                x, y = (np.frombuffer(v, np.float64).reshape(-1, r.wide_a) for v in (r.vectors_a, r.vectors_b))
+                cosines = x @ y.T
+                if r.label_a == r.label_b:
+                    cosines = cosines[np.triu_indices(len(x), 1)] if r.a == r.b else cosines
+                    if cosines.size:
+                        out.append((r.label_a, float(cosines.min()), None))
+                else:
+                    out += [(label, None, float(cosines.max())) for label in (r.label_a, r.label_b)]
+            yield pd.DataFrame(out, columns=["label", "least", "greatest"]).astype({"least": "Float64", "greatest": "Float64"})
+
+    return met.mapInPandas(run, "label string, least double, greatest double").groupBy("label").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+def extremes(units: DataFrame, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int, int]:
+    """label, min_within, max_between of unit vectors (id, label, v); pairs of blocks that were compared, and that there are.
+
+    Blocks have a center and a radius. For each label the pair of blocks that promises most is compared first; then
+    only those whose angles and radii leave room for a lower or higher cosine than that.
+    """
+    blocks = _blocks(units, rows)
+    metas = blocks.drop("vectors", "pivot")
+    unknown = [F.lit(None).cast("double").alias(c) for c in ("least", "greatest")]
+    seeds = save(_pairs_of_blocks(metas.select("*", *unknown), 1), "seeds")
+    first = save(_compared(seeds, blocks), "first")
+    rest = save(_pairs_of_blocks(metas.join(first, "label", "left"), None), "rest")
+    last = first.unionByName(_compared(rest, blocks)).groupBy("label").agg(F.min("least").alias("min_within"), F.max("greatest").alias("max_between"))
+    n = blocks.count()
+    return last, seeds.unionByName(rest).distinct().count(), n * (n + 1) // 2
+
+
+def separability(rows: DataFrame, key: str, label: str, vector: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """label (null: overall), n, mean_within, min_within, mean_between, max_between, separability (within less between).
 
-    Means over pairs come from sums of unit vectors. The least and greatest take every pair: blocks of rows meet blocks
-    of rows, so that no label is a key, and a row of a block is compared with its matrix. Zero vectors aren't compared.
+    Means over pairs come from sums of unit vectors. The least and greatest come from blocks of vectors, of which only those
+    are compared that could hold them. Zero vectors and rows without a label or with a null in their vector don't count; a
+    label with one row has no pairs within.
     """
-    known = rows.where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), doubles(F.col(vector)).alias("v")).where(dot(F.col("v"), F.col("v")) > 0)
-    units = known.withColumn("v", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v"))))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    length = F.sqrt(dot(F.col("v"), F.col("v")))
+    known = rows.where(F.col(label).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("label"), doubles(F.col(vector)).alias("v")).withColumn("length", length)
+    units = save(known.where("length > 0").select("id", "label", F.transform("v", lambda x: F.try_divide(x, F.col("length"))).alias("v")), "units")
     sums = units.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("d"), F.count("*").alias("n"))
     own = sums.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("d") * F.col("d")).alias("q"))
     whole = sums.groupBy("i").agg(F.sum("d").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("t"))
-
-    def extremes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: dict[tuple[str, bool], float] = {}
-        if len(left) and len(right):
-            b, ids, labels = np.stack(right.v.to_list()), right.id.to_numpy(), right.label.to_numpy()
-            for i, name, v in zip(left.id, left.label, left.v):
-                cosines, same = b @ v, labels == name
-                within = cosines[same & (ids > i)]
-                if len(within):
-                    found[name, True] = min(found.get((name, True), 2.0), within.min())
-                if not same.all():
-                    found[name, False] = max(found.get((name, False), -2.0), cosines[~same].max())
-        return pd.DataFrame([(n, w, c) for (n, w), c in found.items()], columns=["label", "within", "cosine"])
-
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sides = [units.withColumn("l", F.col("block")).withColumn("r", each), units.withColumn("r", F.col("block")).withColumn("l", each)]
-    met = sides[0].groupBy("l", "r").cogroup(sides[1].groupBy("l", "r")).applyInPandas(extremes, "label string, within boolean, cosine double")
-    ends = met.groupBy("label").agg(F.min(F.when(F.col("within"), F.col("cosine"))).alias("min_within"), F.max(F.when(~F.col("within"), F.col("cosine"))).alias("max_between"))
-    joined = own.join(ends, "label", "left")
-    pairs = lambda n: F.when(n > 0, n)
-    total = joined.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum(F.col("n") * (F.col("n") - 1)).alias("w"), F.sum(F.col("n") * F.col("n")).alias("s"), F.min("min_within").alias("min_within"), F.max("max_between").alias("max_between")).crossJoin(whole)
-    overall = total.select(F.lit(None).cast("string").alias("label"), "n", ((F.col("q") - F.col("n")) / pairs(F.col("w"))).alias("mean_within"), "min_within", ((F.col("t") - F.col("q")) / pairs(F.col("n") * F.col("n") - F.col("s"))).alias("mean_between"), "max_between")
     none = F.lit(None).cast("double")
-    labels = joined.select("label", "n", ((F.col("q") - F.col("n")) / pairs(F.col("n") * (F.col("n") - 1))).alias("mean_within"), "min_within", none.alias("mean_between"), "max_between")
+    if units.limit(1).count():
+        ends, _, _ = extremes(units, block_rows)
+        joined = own.join(ends, "label", "left")
+    else:
+        joined = own.withColumns({"min_within": none, "max_between": none})
+    pairs = lambda n: F.when(n > 0, n)
+    total = joined.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum(F.col("n") * (F.col("n") - 1)).alias("w"), F.sum(F.col("n") * F.col("n")).alias("s"), F.min("min_within").alias("min_within"), F.max("max_between").alias("max_between"))
+    total = total.withColumn("at", F.lit(1)).join(whole.withColumn("at", F.lit(1)), "at")  # one row and one row
+    overall = total.select(F.lit(None).cast("string").alias("label"), "n", F.try_divide(F.col("q") - F.col("n"), pairs(F.col("w"))).alias("mean_within"), "min_within", F.try_divide(F.col("t") - F.col("q"), pairs(F.col("n") * F.col("n") - F.col("s"))).alias("mean_between"), "max_between")
+    labels = joined.select("label", "n", F.try_divide(F.col("q") - F.col("n"), pairs(F.col("n") * (F.col("n") - 1))).alias("mean_within"), "min_within", none.alias("mean_between"), "max_between")
     return overall.unionByName(labels).withColumn("separability", F.col("mean_within") - F.col("mean_between"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,26 +13,15 @@ from pyspark.sql import types as T
 from corvane.functions import arrays
 from corvane.functions.text import normalize
 from corvane.operators.sampling import hash_order
+from corvane.sources.files import read_files
 
 PROFILE = "duration double, rms double, peak double, clipping_ratio double, speech_ratio double, silence_ratio double, snr_estimate_db double, decay_slope_db_per_s double, spectral_centroid_hz double, rolloff85_hz double"
 
 
-def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """path, rate, channels, seconds, error of the WAV files below a folder, from their headers; an unreadable one has an error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.path, batch.content):
-                try:
-                    with wave.open(io.BytesIO(content)) as f:
-                        rows.append((path, f.getframerate(), f.getnchannels(), f.getnframes() / f.getframerate(), None))
-                except Exception as e:  # whatever is wrong with a file is its row's result
-                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "rate", "channels", "seconds", "error"]).astype({"rate": "Int64", "channels": "Int64"})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder)
-    return files.select("path", "content").mapInPandas(run, "path string, rate long, channels long, seconds double, error string")
+def read_headers(spark: SparkSession, folder: str, kind: str = "noise") -> DataFrame:
+    """path, size, rate, channels, seconds, bytes_read, error of the WAV and FLAC files below a folder or of a screened index, from
+    ranged reads of their headers; an unreadable one has an error."""
+    return read_files(spark, folder, "headers", kind=kind)
 
 
 def paired(recordings: DataFrame, transcripts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +71,7 @@ def quality_summary(results: DataFrame) -> DataFrame:
     rule = F.regexp_replace("reason", r" (above|below) .*$", "")
     reasons = results.where("not passed").select(F.explode("reasons").alias("reason")).groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
     reasons = reasons.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "n")))).alias("failure_reasons"))
-    counts = results.agg(F.count("*").alias("n_files"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"), F.round(F.count_if(~F.col("passed")) / F.count("*"), 5).alias("removal_rate"))
+    counts = results.agg(F.count("*").alias("n_files"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"), F.round(F.try_divide(F.count_if(~F.col("passed")), F.count("*")), 5).alias("removal_rate"))
     from corvane.operators.validate import index_percentiles
 
     lasting = index_percentiles(results.where("passed").withColumn("_all", F.lit(1)), "duration", "_all", {"p10": 0.1, "median": 0.5, "p90": 0.9})
@@ -148,3 +135,14 @@ def augmented_corpus(rows: DataFrame, render: Callable[[DataFrame], DataFrame],
     failures = judged.where("not passed").select("utt_id", F.array_join("reasons", "; ").alias("reason"))
     mix = asked.groupBy("planned").agg(F.count("*").alias("n_planned")).join(kept.groupBy("condition").agg(F.count("*").alias("n_realised")), F.col("planned") == F.col("condition"), "full")
     return kept, failures, mix.select(F.coalesce("planned", "condition").alias("condition"), F.coalesce("n_planned", F.lit(0)).alias("n_planned"), F.coalesce("n_realised", F.lit(0)).alias("n_realised"))
+
+
+def identity_stability(rows: DataFrame, identity: str, value: str) -> DataFrame:
+    """n, mean_spread, spread_of_means, ratio: how far a measure such as the median pitch varies within identities, against
+    how far identities lie apart.
+
+    Identities with fewer than two values don't count; null values are left out. Without any identity all but n are
+    null, and the ratio is null if means don't differ.
+    """
+    each = rows.groupBy(identity).agg(F.stddev_pop(value).alias("s"), F.avg(value).alias("m"), F.count(value).alias("k")).where("k >= 2")
+    return each.agg(F.count("*").alias("n"), F.avg("s").alias("mean_spread"), F.stddev_pop("m").alias("spread_of_means"), F.try_divide(F.avg("s"), F.stddev_pop("m")).alias("ratio"))

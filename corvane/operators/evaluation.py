@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import edit_operations, normalize, term_counts
 from corvane.operators.metrics import UNCATEGORIZED, UNSPECIFIED
+from corvane.sources.files import write_files
 
 #: What a record carries of an utterance besides its scores, and as what.
 METADATA = {"condition": "string", "domain_category": "string", "template_family": "string", "speaker_id": "string", "source": "string", "tts_engine": "string", "snr": "double", "sir": "double", "duration": "double"}
@@ -48,7 +49,7 @@ def rates() -> list[Column]:
     """Corpus rates of records, kinds of edits included; null where nothing can be scored."""
     scored = F.col("reference_length") > 0
     sums = {name: F.sum(F.when(scored, F.col(c))) for name, c in (("total_edit_distance", "edit_distance"), ("total_reference_length", "reference_length"), ("substitutions", "substitutions"), ("deletions", "deletions"), ("insertions", "insertions"))}
-    cer = sums["total_edit_distance"] / sums["total_reference_length"]
+    cer = F.try_divide(sums["total_edit_distance"], sums["total_reference_length"])
     return [F.count_if(scored).alias("n_utterances"), F.count_if(~scored).alias("n_empty_reference"), *(c.alias(n) for n, c in sums.items()), cer.alias("cer"), F.avg(F.when(scored, F.least(F.col("cer"), F.lit(1.0)))).alias("macro_cer")]
 
 
@@ -65,39 +66,48 @@ def breakdown(made: DataFrame, keys: tuple[str, ...] = ("condition", "domain_cat
 def term_breakdown(made: DataFrame, lexicon: DataFrame) -> DataFrame:
     """category (null: over all), n_utterances_with_terms, n_reference_terms, n_matched_terms, error rate, recall, exact match."""
     some = made.where("n_reference_terms > 0")
-    error = 1 - F.sum("n_matched_terms") / F.sum("n_reference_terms")
-    whole = some.agg(F.count("*").alias("n_utterances_with_terms"), F.sum("n_reference_terms").alias("n_reference_terms"), F.sum("n_matched_terms").alias("n_matched_terms"), error.alias("error_rate"), (1 - error).alias("recall"), (F.count_if("all_terms_correct") / F.count("*")).alias("exact_match"))
+    error = 1 - F.try_divide(F.sum("n_matched_terms"), F.sum("n_reference_terms"))
+    whole = some.agg(F.count("*").alias("n_utterances_with_terms"), F.sum("n_reference_terms").alias("n_reference_terms"), F.sum("n_matched_terms").alias("n_matched_terms"), error.alias("error_rate"), (1 - error).alias("recall"), F.try_divide(F.count_if("all_terms_correct"), F.count("*")).alias("exact_match"))
     each = lambda c, sign: some.select(F.explode(c).alias("term"), F.lit(sign).alias("hit"))
     terms = each("medical_entities", 1).unionByName(each("entity_errors", 0)).groupBy("term").agg(F.sum("hit").alias("wanted"), F.count_if(F.col("hit") == 0).alias("lacking"))
     one = lexicon.groupBy("term").agg(F.min("category").alias("category"))
-    by = terms.join(F.broadcast(one), "term", "left").groupBy(F.coalesce("category", F.lit(UNCATEGORIZED)).alias("category")).agg(F.sum("wanted").alias("n_reference_terms"), F.sum(F.col("wanted") - F.col("lacking")).alias("n_matched_terms"))
-    by = by.withColumn("error_rate", 1 - F.col("n_matched_terms") / F.col("n_reference_terms"))
+    by = terms.join(one, "term", "left").groupBy(F.coalesce("category", F.lit(UNCATEGORIZED)).alias("category")).agg(F.sum("wanted").alias("n_reference_terms"), F.sum(F.col("wanted") - F.col("lacking")).alias("n_matched_terms"))
+    by = by.withColumn("error_rate", 1 - F.try_divide(F.col("n_matched_terms"), F.col("n_reference_terms")))
     return whole.withColumn("category", F.lit(None).cast("string")).unionByName(by, allowMissingColumns=True)
 
 
 def document(made: DataFrame, lexicon: DataFrame, meta: dict[str, str]) -> DataFrame:
-    """One row, one column: the metrics document as JSON. Its parts are aggregates, a row for each value of a key."""
+    """One row, one column: the metrics document as JSON, with the names that read_experiments() looks for.
+
+    Its parts are aggregates, a row for each value of a key. Without records there is no overall part, and the maps are empty.
+    """
     parts = breakdown(made)
     entry = F.struct(*(c for c in parts.columns if c not in ("dimension", "value", "place")))
     one = parts.agg(F.first(F.when(F.col("dimension") == "overall", entry), ignorenulls=True).alias("overall"), *(F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("dimension") == k, F.struct("value", entry.alias("e")))))).alias(f"by_{k}") for k in ("condition", "domain_category", "source")))
     terms = term_breakdown(made, lexicon)
-    terms = terms.agg(F.first(F.when(F.col("category").isNull(), F.struct(*(c for c in terms.columns if c != "category"))), ignorenulls=True).alias("overall"), F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", F.struct("n_reference_terms", "n_matched_terms", "error_rate").alias("e")))))).alias("by_term_category"))
+    whole = [F.first(F.when(F.col("category").isNull(), F.col(c)), ignorenulls=True).alias(n) for c, n in TERM_MEASURES.items()]
+    each = F.struct("category", F.struct("n_reference_terms", "n_matched_terms", F.col("error_rate").alias("term_error_rate")).alias("e"))
+    terms = terms.agg(*whole, F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("category").isNotNull(), each)))).alias("by_term_category"))
     told = F.create_map(*(F.lit(x) for kv in meta.items() for x in kv)) if meta else F.create_map().cast("map<string,string>")
-    joined = one.join(terms.select(F.struct("*").alias("medical_terms")))  # one row and one row
+    joined = one.withColumn("at", F.lit(1)).join(terms.select(F.lit(1).alias("at"), F.struct("*").alias("medical_terms")), "at")  # one row and one row
     return joined.select(F.to_json(F.struct(told.alias("meta"), *one.columns, "medical_terms")).alias("document"))
 
 
-def write_evaluation(made: DataFrame, doc: DataFrame, folder: str) -> None:
-    """predictions as JSON lines and the metrics document beside them."""
-    made.write.json(f"{folder}/predictions")
-    doc.coalesce(1).write.text(f"{folder}/metrics")
+#: What the document calls the measures of terms over all records.
+TERM_MEASURES = {"n_utterances_with_terms": "n_utterances_with_terms", "n_reference_terms": "n_reference_terms", "n_matched_terms": "n_matched_terms", "error_rate": "medical_term_error_rate", "recall": "medical_entity_recall", "exact_match": "utterance_exact_match"}
+
+
+def write_evaluation(made: DataFrame, doc: DataFrame, folder: str, experiment: str, test_set: str) -> None:
+    """predictions.jsonl, as parts, and metrics.json below folder/experiment/test_set, where read_experiments() finds them."""
+    made.write.json(f"{folder}/{experiment}/{test_set}/predictions.jsonl")
+    write_files(doc.select(F.lit(f"{experiment}/{test_set}/metrics.json").alias("path"), F.encode("document", "UTF-8").alias("content")), folder, "overwrite")
 
 
 def rescore(rows: DataFrame, baseline: Callable[[Column], Column], variant: Callable[[Column], Column]) -> DataFrame:
     """n_utterances, cer_default, cer_variant, absolute and relative reduction of rows (reference_raw, hypothesis_raw) under two forms."""
     raw = rows.select(F.coalesce("reference_raw", F.lit("")).alias("reference_raw"), F.coalesce("hypothesis_raw", F.lit("")).alias("hypothesis_raw"))
     forms = raw.select(*(form(F.col(f"{side}_raw")).alias(f"{side[0]}_{n}") for n, form in (("d", baseline), ("v", variant)) for side in ("reference", "hypothesis")))
-    cer = lambda n: F.sum(F.when(F.col(f"r_{n}") != "", F.levenshtein(f"r_{n}", f"h_{n}"))) / F.sum(F.char_length(f"r_{n}"))
+    cer = lambda n: F.try_divide(F.sum(F.when(F.col(f"r_{n}") != "", F.levenshtein(f"r_{n}", f"h_{n}"))) , F.sum(F.char_length(f"r_{n}")))
     out = forms.agg(F.count_if(F.col("r_d") != "").alias("n_utterances"), cer("d").alias("cer_default"), cer("v").alias("cer_variant"))
     reduction = F.col("cer_default") - F.col("cer_variant")
     return out.withColumn("absolute_reduction", reduction).withColumn("relative_reduction", F.when((reduction != 0) & (F.col("cer_default") != 0), reduction / F.col("cer_default")))

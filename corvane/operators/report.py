@@ -6,7 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MISSING = "XX"
-NAME = r"^(?<model>[a-z]+\d+)_(?<arm>zero|full|audiolora_proj|audiolora|proj|textlora_proj|textlora|dualpeft)(?:_(?<budget>\d+h))?(?<aug>_aug)?(?<replay>_replay)?(?:_seed(?<seed>\d+))?$"
+# Fixed values of the report: keys in experiment names with their labels, and the labels of test sets.
+ARMS = {"zero": "A0 Zero-shot", "full": "A1 Full SFT", "audiolora": "A2 Audio-LoRA", "proj": "A3 Projection only", "textlora": "A4 Text-LoRA", "audiolora_proj": "A5 Audio-LoRA + Proj", "textlora_proj": "A6 Text-LoRA + Proj", "dualpeft": "A7 DualPEFT"}
+MODELS = {"qwen06": "Qwen3-ASR-0.6B", "qwen17": "Qwen3-ASR-1.7B"}
+MODEL_FAMILY, DEFAULT_SEED = "qwen", 42
+TEST_SET_LABELS = {
+    "test_synthetic": "Synthetic clean (held-out voices)", "test_synthetic_aug": "Synthetic augmented", "test_cross_tts": "Cross-TTS (CosyVoice3)", "test_human_quiet": "Human quiet",
+    "test_human_farfield": "Human far-field", "test_human_noisy": "Human noisy", "test_aishell1": "AISHELL-1 (general)", "test_public_noisy": "Public noisy Mandarin",
+}
+
+
+def labels(keys: Column, table: dict[str, str]) -> Column:
+    """The label of each key; a key without one stands for itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), keys), keys)
 
 
 def cell(value: Column, digits: int) -> Column:
@@ -14,14 +26,22 @@ def cell(value: Column, digits: int) -> Column:
     return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double"))).otherwise(F.lit(MISSING))
 
 
+#: What may follow model and arm in a name, each at most once and in this order.
+NAME_PARTS = {"budget": r"\d+h", "augmented": "aug", "replay": "replay", "seed": r"seed\d+"}
+
+
 def parse_names(rows: DataFrame, name: str) -> DataFrame:
-    """model, arm, budget, augmented, replay and seed (42 if none) of experiment names; rows that don't fit go."""
-    part = lambda i: F.regexp_extract(name, NAME, i)
-    fits = rows.where(F.col(name).rlike(NAME))
-    return fits.select(
-        "*", part(1).alias("model"), part(2).alias("arm"), F.nullif(part(3), F.lit("")).alias("budget"), (part(4) != "").alias("augmented"),
-        (part(5) != "").alias("replay"), F.coalesce(F.nullif(part(6), F.lit("")).cast("int"), F.lit(42)).alias("seed"),
-    )
+    """model_key, model, arm_key, arm, budget, augmented, replay and seed of experiment names; rows whose names don't fit go.
+
+    A name is words joined by "_": a model of the family, an arm, and then what NAME_PARTS lists.
+    """
+    rule = "_".join([rf"({MODEL_FAMILY}\d+)", f"({'|'.join(ARMS)})"]) + "".join(f"(?:_({part}))?" for part in NAME_PARTS.values())
+    whole = rf"\A{rule}\z"
+    word = {c: F.regexp_extract(name, whole, i) for i, c in enumerate(["model_key", "arm_key", *NAME_PARTS], 1)}
+    out = rows.where(F.col(name).rlike(whole)).withColumns(word)
+    seed = F.coalesce(F.nullif(F.substring("seed", 5, 18), F.lit("")).cast("int"), F.lit(DEFAULT_SEED))
+    out = out.withColumns({"budget": F.nullif("budget", F.lit("")), "augmented": F.col("augmented") != "", "replay": F.col("replay") != "", "seed": seed})
+    return out.withColumns({"model": labels(F.col("model_key"), MODELS), "arm": labels(F.col("arm_key"), ARMS)})
 
 
 def pivot_with_missing(records: DataFrame, spec: DataFrame, row: str, column: str, columns: list[str], value: Column, digits: int = 2) -> DataFrame:

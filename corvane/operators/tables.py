@@ -11,12 +11,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.report import MISSING
+from corvane.operators.report import ARMS, MISSING, MODELS
 
 KEYS = ("model_key", "arm_key", "budget", "augmented", "replay", "seed", "test_set")
 # Fixed values of the report.
-ARMS = {"zero": "A0 Zero-shot", "full": "A1 Full SFT", "audiolora": "A2 Audio-LoRA", "proj": "A3 Projection only", "textlora": "A4 Text-LoRA", "audiolora_proj": "A5 Audio-LoRA + Proj", "textlora_proj": "A6 Text-LoRA + Proj", "dualpeft": "A7 DualPEFT"}
-MODELS = {"qwen06": "Qwen3-ASR-0.6B", "qwen17": "Qwen3-ASR-1.7B"}
 BUDGETS = {"1h": 1, "5h": 5, "10h": 10, "20h": 20}
 TERM_CATEGORIES = ("imaging_exam", "lab_test", "disease", "medication", "department", "symptom", "abbreviation")
 TEST_SETS = {"test_synthetic": "Synthetic clean", "test_cross_tts": "Cross-TTS", "test_human_quiet": "Human quiet", "test_human_farfield": "Human far-field", "test_human_noisy": "Human noisy", "test_public_noisy": "Public noisy"}
@@ -107,6 +105,12 @@ HOURS_CELLS = [Cell(i, ARMS[arm], f"h{h}", arm, "cer", budget=b) for i, arm in e
 FORGETTING_CELLS = [c for c in TABLES["forgetting"] if not c.less]
 
 
+def of_experiments(rows: DataFrame) -> DataFrame:
+    """Records for the tables from read_experiments(): the term errors of each category as a measure of its own."""
+    error = lambda c: F.try_element_at("by_term_category", F.lit(c)).getField("term_error_rate")
+    return rows.withColumns({f"term_error_{c}": error(c) for c in TERM_CATEGORIES})
+
+
 def latest(records: DataFrame, order: str) -> DataFrame:
     """One record for each key, the last in `order`; null keys are keys too."""
     others = [c for c in records.columns if c not in KEYS]

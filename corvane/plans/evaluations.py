@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import arrays, text
 from corvane.operators import audio, delivery, evaluation, sampling, subsets, tables
-from corvane.plans.queries import BUDGETS, LEXICON_SQL, MANIFEST, PAIRS, SPLIT, TERMS, form_sql, lexicon, manifest, query, read, rounded, term_chain
+from corvane.plans.queries import BUDGETS, LETTERS, LEXICON_SQL, MANIFEST, PAIRS, SPLIT, TERMS, distance_sql, form_sql, lexicon, manifest, query, read, rounded, term_chain
 
 # ---------------------------------------------------------------- evaluation of turns
 
@@ -16,17 +16,17 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive turns as reference and hypothesis with metadata."""
     from pyspark.sql.window import Window
 
-    said = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    said = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     condition = F.when(F.col("turn") % 3 == 0, "noise").when(F.col("turn") % 3 == 1, "clean")
     return said.select(F.concat_ws("-", "conv_id", "turn").alias("utt_id"), F.col("before").alias("reference_raw"), F.col("text").alias("hypothesis_raw"), condition.alias("condition"), F.col("role").alias("source")).repartition("utt_id")
 
 
-def ascii_form(c):
-    return text.normalize(text.ascii_fold(c), ascii_only=True, keep_digit_separators=False)
+def plain_form(c):
+    return text.normalize(c, keep_digit_separators=False)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.records(turns(spark, sf_dir), TERMS, ascii_form)
+    return evaluation.records(turns(spark, sf_dir), TERMS, plain_form)
 
 
 ONE_LEXICON = "one as (select term, min(category) as category from lexicon group by term)"
@@ -77,17 +77,21 @@ def eval_metrics_document(spark, sf_dir):
     return evaluation.document(records(spark, sf_dir), lexicon(spark), {"tag": "turns"})
 
 
+# here punctuation stays, and with it no capital is taken either
+VARIANT = [f"translate({c}, '{LETTERS[0]}', '{LETTERS[1]}')" for c in ("r_v", "h_v")]
+
+
 def plain_sql(column: str) -> str:
     return form_sql(column).replace(f"translate(lower(", "lower((").replace(f", '{text.ASCII_PUNCTUATION.replace(chr(39), chr(39) * 2)}', '')", ")")
 
 
-@query(f"""with said as (select *, lag(text) over (partition by conv_id order by turn) as before from conversations), f as (select {form_sql('before')} as r_d, {form_sql("coalesce(text, '')")} as h_d, {plain_sql('before')} as r_v, {plain_sql("coalesce(text, '')")} as h_v from said where before is not null),
-s as (select count(*) filter (r_d <> '') as n_utterances, sum(levenshtein(r_d, h_d)) filter (r_d <> '') / sum(length(r_d)) as d, sum(levenshtein(r_v, h_v)) filter (r_v <> '') / sum(length(r_v)) as v from f)
+@query(f"""with said as (select *, lag(coalesce(text, '')) over (partition by conv_id order by turn) as before from conversations), f as (select {form_sql('before')} as r_d, {form_sql("coalesce(text, '')")} as h_d, {plain_sql('before')} as r_v, {plain_sql("coalesce(text, '')")} as h_v from said where before is not null),
+s as (select count(*) filter (r_d <> '') as n_utterances, sum({distance_sql('r_d', 'h_d')}) filter (r_d <> '') / sum(length(r_d)) as d, sum(levenshtein({VARIANT[0]}, {VARIANT[1]})) filter (r_v <> '') / sum(length(r_v)) as v from f)
 select n_utterances, round(d, 9) as cer_default, round(v, 9) as cer_variant, round(d - v, 9) as absolute_reduction, case when d <> v and d <> 0 then round((d - v) / d, 9) end as relative_reduction from s""")
 def rescore_variants(spark, sf_dir):
     """Rates under the default form and under one that keeps punctuation."""
-    variant = lambda c: text.normalize(text.ascii_fold(c), ascii_only=True, drop_punctuation=False)
-    return rounded(evaluation.rescore(turns(spark, sf_dir), ascii_form, variant), "cer_default", "cer_variant", "absolute_reduction", "relative_reduction")
+    variant = lambda c: text.normalize(c, drop_punctuation=False)
+    return rounded(evaluation.rescore(turns(spark, sf_dir), plain_form, variant), "cer_default", "cer_variant", "absolute_reduction", "relative_reduction")
 
 
 # ---------------------------------------------------------------- lexicon

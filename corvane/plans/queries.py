@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions import arrays, text
 from corvane.sources.tables import save
-from corvane.operators import augment, dedup, metrics, report, sampling, templates, validate
+from corvane.operators import audio, augment, dedup, metrics, report, sampling, templates, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,25 +45,34 @@ LEXICON_SQL = "lexicon(term, category) as (values " + ", ".join(f"('{t}', '{c}')
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns as reference and hypothesis, whole and in ASCII; dealt out anew, since an edit distance takes the product of two lengths."""
+    """Consecutive turns as reference and hypothesis, whole and normalized; dealt out anew, since an edit distance takes the product of two lengths.
+
+    A turn without text is empty, be it the reference or the hypothesis; only the first turn has none before it.
+    """
     turn = Window.partitionBy("conv_id").orderBy("turn")
-    said = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(turn)).where("before is not null").repartition("conv_id", "turn")
-    form = lambda c: text.normalize(text.ascii_fold(F.col(c)), ascii_only=True, keep_digit_separators=False)
+    said = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("before", F.lag("text").over(turn)).where("before is not null").repartition("conv_id", "turn")
+    form = lambda c: text.normalize(F.col(c), keep_digit_separators=False)
     return said.select("conv_id", "turn", "role", form("before").alias("reference"), form("text").alias("hypothesis"))
 
 
 PUNCT = text.ASCII_PUNCTUATION.replace("'", "''")
+# DuckDB's levenshtein counts bytes: letters beyond ASCII take the place of capitals, of which lower-cased text has none.
+LETTERS = "àâäáãåçèéêëìíîïñòóôöõùúûüß", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def form_sql(column: str) -> str:
-    folded = f"regexp_replace({column}, '[^\\x00-\\x7F]', '', 'g')"
-    untagged = f"regexp_replace({folded}, '(?i)^\\s*language\\s+\\w+\\s*<asr_text>\\s*', '')"
+    untagged = f"regexp_replace({column}, '(?i)^\\s*language\\s+\\w+\\s*<asr_text>\\s*', '')"
     return f"regexp_replace(translate(lower({untagged}), '{PUNCT}', ''), '\\s+', '', 'g')"
 
 
-PAIRS = f"""said as (select *, lag(text) over (partition by conv_id order by turn) as before from conversations),
-pairs as (select conv_id, turn, role, {form_sql('before')} as reference, {form_sql("coalesce(text, '')")} as hypothesis from said where before is not null),
-scored as (select *, length(reference) as reference_length, levenshtein(reference, hypothesis) as distance from pairs)"""
+def distance_sql(a: str, b: str) -> str:
+    one, other = (f"translate({x}, '{LETTERS[0]}', '{LETTERS[1]}')" for x in (a, b))
+    return f"levenshtein({one}, {other})"
+
+
+PAIRS = f"""said as (select * replace (coalesce(text, '') as text), lag(coalesce(text, '')) over (partition by conv_id order by turn) as before from conversations),
+pairs as (select conv_id, turn, role, {form_sql('before')} as reference, {form_sql("text")} as hypothesis from said where before is not null),
+scored as (select *, length(reference) as reference_length, {distance_sql('reference', 'hypothesis')} as distance from pairs)"""
 RATES = """count(*) filter (reference_length > 0) as n_scored, count(*) filter (reference_length = 0) as n_empty_reference,
 cast(sum(distance) filter (reference_length > 0) as bigint) as sum_distance, cast(sum(reference_length) filter (reference_length > 0) as bigint) as sum_reference,
 round(sum(distance) filter (reference_length > 0) / sum(reference_length) filter (reference_length > 0), 9) as cer,
@@ -98,6 +108,12 @@ def edit_ops_ascii(spark, sf_dir):
     return out.select("conv_id", "turn", "distance", adds_up.alias("kinds_add_up"), (F.col("insertions") - F.col("deletions")).alias("surplus"))
 
 
+@query()
+def edit_kinds(spark, sf_dir):
+    """Substitutions, deletions and insertions of each turn, one by one."""
+    return metrics.score(pairs(spark, sf_dir), with_kinds=True).select("conv_id", "turn", "distance", "substitutions", "deletions", "insertions")
+
+
 def two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """System a hears the turn, system b the turn without vowels; numbered."""
     rows = metrics.score(pairs(spark, sf_dir)).withColumn("utt_id", F.expr("conv_id * 1000 + turn"))
@@ -105,7 +121,7 @@ def two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.paired(rows, other)
 
 
-SYSTEMS = f"{PAIRS}, systems as (select conv_id * 1000 + turn as utt_id, reference_length, distance as distance_a, levenshtein(reference, translate(hypothesis, 'aeiou', '')) as distance_b from scored)"
+SYSTEMS = f"{PAIRS}, systems as (select conv_id * 1000 + turn as utt_id, reference_length, distance as distance_a, {distance_sql('reference', "translate(hypothesis, 'aeiou', '')")} as distance_b from scored)"
 
 
 @query(f"with {SYSTEMS} select utt_id, cast(distance_a as bigint) as distance_a, cast(distance_b as bigint) as distance_b, reference_length, round((distance_a - distance_b) / reference_length, 9) as delta from systems where reference_length > 0 and distance_a <> distance_b order by abs((distance_a - distance_b) / reference_length) desc, utt_id limit 8")
@@ -127,6 +143,19 @@ def paired_bootstrap(spark, sf_dir):
     return metrics.bootstrap(two_systems(spark, sf_dir), replicates=1000)
 
 
+@query()
+def bootstrap_report(spark, sf_dir):
+    """The test's row with the turns on which the two systems differ most."""
+    return metrics.significance_report(two_systems(spark, sf_dir), replicates=1000)
+
+
+@query("with n as (select count(*) as n from (select 1 from conversations where true qualify lag(turn) over (partition by conv_id order by turn) is not null)) select r as replicate, n as draws from n, range(300) t(r)")
+def bootstrap_draws(spark, sf_dir):
+    """Each replicate draws as many rows as there are, the draws of all parts added up."""
+    pairs_of_turns = two_systems(spark, sf_dir).withColumn("reference_length", F.greatest("reference_length", F.lit(1)))
+    return metrics.multinomial_sums(pairs_of_turns, 300).select("replicate", "draws")
+
+
 # ---------------------------------------------------------------- dictionary terms
 
 
@@ -169,7 +198,7 @@ def lexicon_coverage(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
     found = docs.select("doc_id", F.explode(text.term_counts(F.col("text"), TERMS)).alias("term", "n"))
     counts = found.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
-    return lexicon(spark).select("term").distinct().join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.round(F.coalesce("n_docs", F.lit(0)) / docs.count(), 9).alias("share"))
+    return lexicon(spark).select("term").distinct().join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.round(F.try_divide(F.coalesce("n_docs", F.lit(0)), F.lit(docs.count())), 9).alias("share"))
 
 
 @query(f"with {LEXICON_SQL} select term, count(distinct category) as n_categories from lexicon group by term having count(distinct category) > 1")
@@ -191,7 +220,7 @@ def char_ngrams(spark, sf_dir):
 
 @query(f"select doc_id from (select doc_id, row_number() over (partition by {KEY} order by doc_id) as r from documents) where r = 1")
 def exact_dedup(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5(text.dedup_key(F.coalesce("text", F.lit("")), ascii_only=True)).alias("key"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5(text.dedup_key(F.coalesce("text", F.lit("")))).alias("key"))
     return dedup.first_of_each(docs, "key", "doc_id").select("doc_id")
 
 
@@ -396,10 +425,10 @@ def balanced_order(spark, sf_dir):
     return rounded(sampling.balanced_position(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id"), "position")
 
 
-@query("select format('SPK{:02d}', cast(r % 32 as int)) as speaker_id, count(*) as n from (select row_number() over (order by md5(concat('42|', doc_id)), doc_id) - 1 as r from documents) group by r % 32")
+@query("select format('SPK{:02d}', k) as speaker_id, count(*) as n from (select (row_number() over (order by md5(concat('42|', doc_id)), doc_id) - 1) % (select count(*) from supplier) as k from documents) group by k")
 def round_robin_assign(spark, sf_dir):
     """A speaker for every document, dealt in turn in hash order."""
-    return sampling.round_robin(read(spark, sf_dir, "documents").select("doc_id"), inventory_rows(spark), ["doc_id"], "speaker_id").groupBy("speaker_id").agg(F.count("*").alias("n"))
+    return sampling.round_robin(read(spark, sf_dir, "documents").select("doc_id"), inventory_rows(spark, sf_dir), ["doc_id"], "speaker_id").groupBy("speaker_id").agg(F.count("*").alias("n"))
 
 
 @query("select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as r from documents) where r % 50 = 0")
@@ -430,23 +459,24 @@ def condition_plan(spark, sf_dir):
 GENDERS, PITCHES, ENERGIES = ["female", "male"], ["low", "middle", "bright"], ["even", "mild", "strong"]
 
 
-def inventory_rows(spark: SparkSession) -> DataFrame:
-    i = F.col("id").cast("int")
+def inventory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A voice for each supplier, its attributes dealt out at strides."""
+    i = F.col("s_suppkey")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values)).cast("int") + 1)
-    return spark.range(32).select(i.alias("n"), F.format_string("SPK%02d", i).alias("speaker_id"), pick(GENDERS, i).alias("gender"), pick(["young", "middle", "old"], i).alias("age"), pick(["slow", "medium", "fast"], F.floor(i / 2)).alias("rate"), pick(PITCHES, F.floor(i / 3)).alias("pitch"), pick(["a0", "a1", "a2", "a3"], i * 3).alias("accent"), pick(ENERGIES, F.floor(i / 4)).alias("energy"))
+    return read(spark, sf_dir, "supplier").select(i.alias("n"), F.format_string("SPK%02d", i).alias("speaker_id"), pick(GENDERS, i).alias("gender"), pick(["young", "middle", "old"], i).alias("age"), pick(["slow", "medium", "fast"], F.floor(i / 2)).alias("rate"), pick(PITCHES, F.floor(i / 3)).alias("pitch"), pick(["a0", "a1", "a2", "a3"], i * 3).alias("accent"), pick(ENERGIES, F.floor(i / 4)).alias("energy"))
 
 
-@query("""select i as n, format('SPK{:02d}', i) as speaker_id, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['slow', 'medium', 'fast'][(i // 2) % 3 + 1] as rate, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch, ['a0', 'a1', 'a2', 'a3'][(i * 3) % 4 + 1] as accent, ['even', 'mild', 'strong'][(i // 4) % 3 + 1] as energy from range(32) t(i)""")
+@query("""select i as n, format('SPK{:02d}', i) as speaker_id, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['slow', 'medium', 'fast'][(i // 2) % 3 + 1] as rate, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch, ['a0', 'a1', 'a2', 'a3'][(i * 3) % 4 + 1] as accent, ['even', 'mild', 'strong'][(i // 4) % 3 + 1] as energy from (select s_suppkey as i from supplier)""")
 def speaker_inventory(spark, sf_dir):
-    return inventory_rows(spark)
+    return inventory_rows(spark, sf_dir)
 
 
 @query("""with i as (select i, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['slow', 'medium', 'fast'][(i // 2) % 3 + 1] as rate, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch, ['a0', 'a1', 'a2', 'a3'][(i * 3) % 4 + 1] as accent, ['even', 'mild', 'strong'][(i // 4) % 3 + 1] as energy,
-case when i < 20 then 'train' when i < 26 then 'dev' else 'test' end as pool from range(32) t(i)), a as (select pool, unnest([{'attribute': 'gender', 'value': gender}, {'attribute': 'age', 'value': age}, {'attribute': 'rate', 'value': rate}, {'attribute': 'pitch', 'value': pitch}, {'attribute': 'accent', 'value': accent}, {'attribute': 'energy', 'value': energy}], recursive := true) from i)
+case when i < 20 then 'train' when i < 26 then 'dev' else 'test' end as pool from (select s_suppkey as i from supplier)), a as (select pool, unnest([{'attribute': 'gender', 'value': gender}, {'attribute': 'age', 'value': age}, {'attribute': 'rate', 'value': rate}, {'attribute': 'pitch', 'value': pitch}, {'attribute': 'accent', 'value': accent}, {'attribute': 'energy', 'value': energy}], recursive := true) from i)
 select coalesce(pool, 'all') as pool, attribute, value, count(*) as n from a where true group by grouping sets ((attribute, value), (pool, attribute, value)) having grouping(pool) = 1 or attribute in ('gender', 'age', 'accent')""")
 def inventory_report(spark, sf_dir):
     """Voices by six attributes, and in each pool by three."""
-    voices = inventory_rows(spark).withColumn("pool", F.when(F.col("n") < 20, "train").when(F.col("n") < 26, "dev").otherwise("test"))
+    voices = inventory_rows(spark, sf_dir).withColumn("pool", F.when(F.col("n") < 20, "train").when(F.col("n") < 26, "dev").otherwise("test"))
     whole = validate.counts_by(voices, ["gender", "age", "rate", "pitch", "accent", "energy"]).withColumn("pool", F.lit("all"))
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("gender", "age", "accent"))))
     by_pool = voices.select("pool", cells.alias("d")).groupBy("pool", "d.dimension", "d.value").agg(F.count("*").alias("n"))
@@ -464,7 +494,7 @@ def template_capacity(spark, sf_dir):
     return templates.family_capacities(capacities)
 
 
-@query("select o_orderkey, [o_orderkey // 35 % 3, o_orderkey // 7 % 5, o_orderkey % 7] as digits from orders where o_orderkey < 1000000000")
+@query("select o_orderkey, [o_orderkey // 35 % 3, o_orderkey // 7 % 5, o_orderkey % 7] as digits from orders")
 def mixed_radix_decode(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", templates.decode(F.col("o_orderkey") % 105, F.array(F.lit(3).cast("long"), F.lit(5).cast("long"), F.lit(7).cast("long"))).alias("digits"))
 
@@ -478,12 +508,24 @@ def config_grid(spark, sf_dir):
     return report.config_grid(spark)
 
 
-@query("""with g as (select unnest(['base1_full_1h', 'base1_proj_5h_aug_seed7', 'base2_zero', 'other']) as experiment)
-select experiment, regexp_extract(experiment, '^([a-z]+[0-9]+)_', 1) as model, case when experiment like '%full%' then 'full' when experiment like '%proj%' then 'proj' else 'zero' end as arm,
-nullif(regexp_extract(experiment, '_([0-9]+h)', 1), '') as budget, contains(experiment, '_aug') as augmented, false as replay, coalesce(try_cast(regexp_extract(experiment, '_seed([0-9]+)', 1) as int), 42) as seed from g where experiment <> 'other'""")
+NAMED = """p as (select *, coalesce(['qwen06', 'qwen17', 'qwen' || p_size, 'other' || p_size, 'qwen'][p_partkey % 5 + 1]) as model_key, ['zero', 'full', 'audiolora', 'proj', 'textlora', 'audiolora_proj', 'textlora_proj', 'dualpeft', 'lora'][p_partkey % 9 + 1] as arm_key,
+[null, '1h', '5h', '20h'][p_partkey % 4 + 1] as budget, p_partkey % 3 = 0 as augmented, p_partkey % 7 = 0 as replay, case when p_partkey % 2 = 0 then 42 else p_partkey end as seed from part),
+n as (select *, model_key || '_' || arm_key || coalesce('_' || budget, '') || case when augmented then '_aug' else '' end || case when replay then '_replay' else '' end || case when p_partkey % 2 = 1 then '_seed' || p_partkey else '' end || case when p_partkey % 13 = 0 then '_aug' else '' end as experiment from p)"""
+
+
+@query(f"""with {NAMED} select experiment, model_key, case model_key when 'qwen06' then 'Qwen3-ASR-0.6B' when 'qwen17' then 'Qwen3-ASR-1.7B' else model_key end as model, arm_key,
+case arm_key when 'zero' then 'A0 Zero-shot' when 'full' then 'A1 Full SFT' when 'audiolora' then 'A2 Audio-LoRA' when 'proj' then 'A3 Projection only' when 'textlora' then 'A4 Text-LoRA' when 'audiolora_proj' then 'A5 Audio-LoRA + Proj' when 'textlora_proj' then 'A6 Text-LoRA + Proj' else 'A7 DualPEFT' end as arm,
+budget, case when p_partkey % 13 = 0 then true else augmented end as augmented, replay, cast(seed as int) as seed from n
+where regexp_full_match(model_key, 'qwen[0-9]+') and arm_key <> 'lora' and (p_partkey % 13 <> 0 or (not augmented and not replay and p_partkey % 2 = 0))""")
 def experiment_names(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in ("base1_full_1h", "base1_proj_5h_aug_seed7", "base2_zero", "other")], "experiment string")
-    return report.parse_names(names, "experiment")
+    """Names made from parts, some of which don't fit, and what they say."""
+    pick = lambda values, at: F.element_at(F.array(*values), (at + 1).cast("int"))
+    key, word = F.col("p_partkey"), lambda condition, w: F.when(condition, w).otherwise(F.lit(""))
+    model = pick([F.lit("qwen06"), F.lit("qwen17"), F.concat(F.lit("qwen"), "p_size"), F.concat(F.lit("other"), "p_size"), F.lit("qwen")], key % 5)
+    arm = pick([*map(F.lit, [*report.ARMS, "lora"])], key % 9)
+    budget = pick([F.lit(""), F.lit("_1h"), F.lit("_5h"), F.lit("_20h")], key % 4)
+    name = F.concat(model, F.lit("_"), arm, budget, word(key % 3 == 0, F.lit("_aug")), word(key % 7 == 0, F.lit("_replay")), word(key % 2 == 1, F.concat(F.lit("_seed"), key)), word(key % 13 == 0, F.lit("_aug")))
+    return report.parse_names(read(spark, sf_dir, "part").select(name.alias("experiment")), "experiment")
 
 
 @query("""with s as (select distinct lang from documents union all select 'xx'), r as (select lang, source, avg(n_chars) as v from documents where source in ('src0', 'src1') or (source = 'src2' and lang = 'en') group by all)
@@ -528,11 +570,11 @@ s as (select label, count(*) as n, list_dot_product(list(d), list(d)) as q from
 select label, (select count(*) from embeddings e where e.label = s.label) as n, round((q - (select count(*) from embeddings e where e.label = s.label)) / ((select count(*) from embeddings e where e.label = s.label) * ((select count(*) from embeddings e where e.label = s.label) - 1)), 6) as mean_within from s""")
 def identity_cohesion(spark, sf_dir):
     """Mean cosine of all pairs within a label, from the sum of unit vectors: no pair is made."""
-    unit = lambda e: F.transform(arrays.doubles(e), lambda x: x / F.sqrt(arrays.dot(e, e)))
+    unit = lambda e: F.transform(arrays.doubles(e), lambda x: F.try_divide(x, F.sqrt(arrays.dot(e, e))))
     rows = read(spark, sf_dir, "embeddings").select("label", F.posexplode(unit(F.col("embedding"))).alias("i", "x"))
-    sums = rows.groupBy("label", "i").agg(F.sum("x").alias("d"), F.count("*").alias("n"))
+    sums = rows.groupBy("label", "i").agg(F.sum("x").alias("d"), F.count("x").alias("n"))
     out = sums.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("d") * F.col("d")).alias("q"))
-    return out.select("label", "n", F.round((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_within"))
+    return out.select("label", "n", F.round(F.try_divide(F.col("q") - F.col("n"), F.col("n") * (F.col("n") - 1)), 6).alias("mean_within"))
 
 
 @query(f"""with u as (select vec_id, cast(label as varchar) as label, {V} as e from embeddings where label is not null and list_dot_product({V}, {V}) > 0),
@@ -583,8 +625,22 @@ def tiering(spark, sf_dir):
 
 @query("""with each as (select user_id, stddev_pop(value) as s, avg(value) as m from events group by 1 having count(value) >= 2) select count(*) as n, round(avg(s), 6) as mean_spread, round(stddev_pop(m), 6) as spread_of_means, round(avg(s) / stddev_pop(m), 6) as ratio from each""")
 def identity_stability(spark, sf_dir):
-    each = read(spark, sf_dir, "events").groupBy("user_id").agg(F.stddev_pop("value").alias("s"), F.avg("value").alias("m"), F.count("value").alias("k")).where("k >= 2")
-    return each.agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean_spread"), F.round(F.stddev_pop("m"), 6).alias("spread_of_means"), F.round(F.avg("s") / F.stddev_pop("m"), 6).alias("ratio"))
+    out = audio.identity_stability(read(spark, sf_dir, "events"), "user_id", "value")
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean_spread", "spread_of_means", "ratio")))
+
+
+TONE = "user_id % 62 * 5 + 75"  # a voice of its own for each user, in Hz
+
+
+@query(f"""with p as (select distinct user_id, {TONE} + event_id % 3 as f from events), each as (select user_id, count(*) as n, stddev_pop(f) as spread, avg(f) as mean from p group by user_id)
+select count(*) as n, round(avg(spread), 1) as mean_spread, round(stddev_pop(mean), 0) as spread_of_means from each where n >= 2""")
+def pitch_stability(spark, sf_dir):
+    """How far the measured median pitch of a user's recordings (the different tones made from their events) varies, within and between users."""
+    tones = read(spark, sf_dir, "events").select("user_id", F.expr(f"{TONE} + event_id % 3").alias("tone")).distinct()
+    wave = F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: F.sin(i * F.col("tone") * (2 * math.pi / arrays.SAMPLE_RATE)))
+    made = tones.repartition("user_id", "tone").select("user_id", wave.alias("signal"))
+    out = audio.identity_stability(made.select("user_id", arrays.median_pitch("signal").alias("pitch")), "user_id", "pitch")
+    return out.select("n", F.round("mean_spread", 1).alias("mean_spread"), F.round("spread_of_means", 0).alias("spread_of_means"))
 
 
 @query(f"select vec_id, list_transform(range(0, len(embedding) - 15, 8), lambda i: round(list_dot_product({V}[i + 1 : i + 16], {V}[i + 1 : i + 16]) / 16, 9)) as energies from embeddings")
@@ -624,10 +680,10 @@ def leaf_collisions(spark, sf_dir):
     return rows.groupBy("leaf").agg(F.count_distinct("p_brand").alias("n_components")).where("n_components > 1")
 
 
-@query("""with i as (select i, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch from range(32) t(i))
+@query("""with i as (select i, ['female', 'male'][i % 2 + 1] as gender, ['young', 'middle', 'old'][i % 3 + 1] as age, ['low', 'middle', 'bright'][(i // 3) % 3 + 1] as pitch from (select s_suppkey as i from supplier))
 select 'gender' as dimension, gender as value, count(*) as n from i group by 2 union all select 'age', age, count(*) from i group by 2 union all select 'pitch', pitch, count(*) from i group by 2""")
 def inventory_balance(spark, sf_dir):
-    return validate.counts_by(inventory_rows(spark), ["gender", "age", "pitch"])
+    return validate.counts_by(inventory_rows(spark, sf_dir), ["gender", "age", "pitch"])
 
 
 @query("""with p as (select case when u < 0.40 then 'clean' when u < 0.58 then 'noise' when u < 0.64 then 'reverb' when u < 0.70 then 'noise_reverb' when u < 0.85 then 'competing_speech' else 'codec' end as condition
@@ -639,7 +695,7 @@ def planned_mix(spark, sf_dir):
     counts = condition_plan(spark, sf_dir).groupBy("condition").agg(F.count("*").alias("n"))
     target = spark.createDataFrame(list(augment.CONDITION_WEIGHTS.items()), "condition string, target double")
     whole = read(spark, sf_dir, "documents").count()
-    return target.join(counts, "condition", "left").select("condition", "target", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / whole, 9).alias("realised"))
+    return target.join(counts, "condition", "left").select("condition", "target", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.try_divide(F.coalesce("n", F.lit(0)), F.lit(whole)), 9).alias("realised"))
 
 
 @query("""with r as (select doc_id, row_number() over (order by n_chars, doc_id) - 1 as r, count(*) over () as n from documents) select doc_id, r as rank from r where r in (select cast(round_even(k * (n - 1) / 9.0, 0) as bigint) from range(10) t(k))""")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.files import write_files
 from corvane.sources.readers import MANIFEST
 
 
@@ -51,3 +52,8 @@ def encode_wav(signal, rate: int = 16000) -> bytes:
 def wav_bytes(signals: pd.Series) -> pd.Series:
     """16-bit WAV files as bytes, to be written by any binary sink."""
     return signals.map(lambda s: None if s is None else encode_wav(s))
+
+
+def write_wav(rows: DataFrame, folder: str, mode: str = "append") -> None:
+    """rows (path below the folder, signal) as 16-bit WAV files, all of them or none; null signals have no file."""
+    write_files(rows.where("signal is not null").select("path", wav_bytes("signal").alias("content")), folder, mode)

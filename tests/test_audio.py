@@ -101,7 +101,7 @@ def test_json_lines(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"utt_id": "a"}\n\n  \n{"utt_id": "b"}\n')
     assert sorted(r.utt_id for r in readers.read_jsonl(spark, str(tmp_path / "m.jsonl")).collect()) == ["a", "b"]
     (tmp_path / "bad.jsonl").write_text('{"utt_id": "a"}\n{"utt_id": \n')
-    with pytest.raises(Exception, match=r"malformed line in .*bad\.jsonl: \{"):
+    with pytest.raises(Exception, match=r"bad\.jsonl:2 malformed line: \{"):
         readers.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
@@ -114,8 +114,8 @@ def test_documents_and_reports(spark, tmp_path):
     doc = evaluation.document(made, spark.createDataFrame([("x", "letter")], "term string, category string"), {"tag": "t"})
     whole = json.loads(doc.first()[0])
     assert whole["meta"] == {"tag": "t"} and whole["overall"]["total_edit_distance"] == 3 and whole["by_condition"]["noise"]["cer"] == 1.0 and whole["medical_terms"]["by_term_category"]["letter"]["n_matched_terms"] == 1
-    evaluation.write_evaluation(made, doc, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "predictions")).count() == 3
+    evaluation.write_evaluation(made, doc, str(tmp_path / "out"), "qwen06_zero", "t")
+    assert spark.read.json(str(tmp_path / "out/qwen06_zero/t/predictions.jsonl")).count() == 3
     table = tables.table(spark, tables.TABLES["data_budget"], spark.createDataFrame([("qwen06", "full", "1h", False, False, 42, "test_synthetic", 0.12345), ("qwen06", "zero", None, False, False, 42, "test_synthetic", 0.5)], "model_key string, arm_key string, budget string, augmented boolean, replay boolean, seed int, test_set string, cer double"))
     shown = {r.label: (r.h1, r.h20) for r in table.collect()}
     assert shown["A1 Full SFT"] == ("12.35", "XX") or shown["A1 Full SFT"] == ("12.34", "XX")

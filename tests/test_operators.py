@@ -140,13 +140,13 @@ def test_condition_mix_and_render(spark):
     wave = [0.3 if i % 40 < 20 else -0.3 for i in range(1600)]
     table = spark.createDataFrame([(c, c, wave, wave if c == "competing_speech" else None) for c in augment.CONDITION_WEIGHTS] + [("e", "competing_speech", wave, None)], "utt_id string, condition string, signal array<double>, interferer array<double>")
     a, b = ({r.utt_id: r for r in augment.augment(table).collect()} for _ in range(2))
-    assert all(a[u].signal == b[u].signal for u in a) and a["e"].error and a["noise"].snr and a["competing_speech"].sir
+    assert all(a[u].signal == b[u].signal for u in a) and a["e"].competing_speech_unavailable and a["e"].snr and a["noise"].snr and a["competing_speech"].sir
 
 
 def test_names_and_cells(spark):
-    names = spark.createDataFrame([("base1_full_1h_aug_replay_seed7",), ("nope",)], "n string")
+    names = spark.createDataFrame([("qwen06_full_1h_aug_replay_seed7",), ("nope",), ("base1_full_1h",), ("qwen17_proj_proj",), ("qwen9_audiolora_proj_replay",)], "n string")
     r = report.parse_names(names, "n").collect()
-    assert [(x.arm, x.budget, x.augmented, x.replay, x.seed) for x in r] == [("full", "1h", True, True, 7)]
+    assert [(x.model_key, x.arm_key, x.budget, x.augmented, x.replay, x.seed) for x in r] == [("qwen06", "full", "1h", True, True, 7), ("qwen9", "audiolora_proj", None, False, True, 42)] and r[0].arm == "A1 Full SFT" and r[1].model == "qwen9"
     assert spark.range(1).select(report.cell(F.lit(None).cast("double"), 2).alias("c")).first().c == "XX"
     assert r"a\_b" in report.latex([("x", "1%")], ["a_b", "c"])
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from corvane.functions.text import count_edits, count_edits_together
+from corvane.functions.text import count_edits, count_edits_by_bits
 from corvane.operators.dedup import accept_texts
 from corvane.plans.queries import QUERIES, SQL
 from corvane.sources.tables import save
@@ -17,7 +17,7 @@ def test_edit_kinds_together():
     draw = random.Random(1)
     text = lambda n: "".join(draw.choice("abcé𝄞"[: draw.choice([2, 3, 5])]) for _ in range(draw.randrange(n)))
     sides = [[text(40) for _ in range(400)] + last for last in ([text(300), "", "x", ""], [text(250), "", "", "yy"])]
-    assert [tuple(x) for x in count_edits_together(*sides)] == [count_edits(a, b) for a, b in zip(*sides)]
+    assert [count_edits_by_bits(a, b) for a, b in zip(*sides)] == [count_edits(a, b) for a, b in zip(*sides)]
 
 
 def test_turns_are_scored_whole(spark, tmp_path):

@@ -633,14 +633,14 @@ TONE = "user_id % 62 * 5 + 75"  # a voice of its own for each user, in Hz
 
 
 @query(f"""with p as (select distinct user_id, {TONE} + event_id % 3 as f from events), each as (select user_id, count(*) as n, stddev_pop(f) as spread, avg(f) as mean from p group by user_id)
-select count(*) as n, round(avg(spread), 1) as mean_spread, round(stddev_pop(mean), 0) as spread_of_means from each where n >= 2""")
+select count(*) as n, round(avg(spread), 1) as mean_spread, round(stddev_pop(mean), -1) as spread_of_means from each where n >= 2""")
 def pitch_stability(spark, sf_dir):
     """How far the measured median pitch of a user's recordings (the different tones made from their events) varies, within and between users."""
     tones = read(spark, sf_dir, "events").select("user_id", F.expr(f"{TONE} + event_id % 3").alias("tone")).distinct()
     wave = F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: F.sin(i * F.col("tone") * (2 * math.pi / arrays.SAMPLE_RATE)))
     made = tones.repartition("user_id", "tone").select("user_id", wave.alias("signal"))
     out = audio.identity_stability(made.select("user_id", arrays.median_pitch("signal").alias("pitch")), "user_id", "pitch")
-    return out.select("n", F.round("mean_spread", 1).alias("mean_spread"), F.round("spread_of_means", 0).alias("spread_of_means"))
+    return out.select("n", F.round("mean_spread", 1).alias("mean_spread"), F.round("spread_of_means", -1).alias("spread_of_means"))
 
 
 @query(f"select vec_id, list_transform(range(0, len(embedding) - 15, 8), lambda i: round(list_dot_product({V}[i + 1 : i + 16], {V}[i + 1 : i + 16]) / 16, 9)) as energies from embeddings")

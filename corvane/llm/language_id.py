@@ -15,8 +15,9 @@ from corvane.llm.shared import with_computed
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 AGAIN = re.compile(r"\b(\w+)(?: \1\b)+")
-#: Below so many bytes a text is encoded from several of its words on: sums tell more than the size of one short frame.
-SHORT, STARTS = 512, 8
+#: The first so many bytes of a text are encoded again from each of its first words on: sums tell more than the size of one
+#: short frame, and of a short text there are no others.
+AGAIN_BYTES, STARTS = 512, 8
 
 
 def letters_of(text: str | None) -> str:
@@ -26,25 +27,25 @@ def letters_of(text: str | None) -> str:
 
 
 def parts_of(raw: bytes, block: int) -> list[bytes]:
-    """Blocks of a text to be encoded; of a short one, what follows each of its first few words."""
-    if len(raw) >= SHORT:
-        return [raw[i : i + block] for i in range(0, len(raw), block)]
-    words = raw.split(b" ")
-    return [b" ".join(words[i:]) for i in range(min(STARTS, len(words)))]
+    """What is encoded of a text, whatever its length: all its blocks, and its first bytes from the second word on, from the third, and so on."""
+    words = raw[:AGAIN_BYTES].split(b" ")
+    return [raw[i : i + block] for i in range(0, len(raw), block)] + [b" ".join(words[i:]) for i in range(1, min(STARTS, len(words)))]
 
 
 def learn(docs: DataFrame, rows: int = 250, chars: int = 2000) -> dict[str, bytes]:
     """A raw-content dictionary for each language: the letters of a sample of its documents (doc_id, text, lang).
 
     The sample is bounded: of each language the `rows` documents whose ids have the least hashes, and of each of them
-    `chars` characters. Ids are drawn without reading texts. Null languages, texts and ids don't take part.
+    `chars` characters in a row from a place that the hash of its id picks, anywhere in the text. Ids are drawn without
+    reading texts. Null languages, texts and ids don't take part.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
     ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in drawn.select("doc_id").collect()], "doc_id long")
     texts = docs.join(F.broadcast(ids.distinct()), "doc_id").where("lang is not null and text is not null")
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1).cast("int") + 1
     sample: dict[str, list[str]] = {}
-    for r in sorted(texts.select("lang", F.substring("text", 1, chars).alias("text"), "doc_id").collect(), key=lambda r: (r.lang, r.doc_id)):
+    for r in sorted(texts.select("lang", F.substring("text", begin, F.lit(chars)).alias("text"), "doc_id").collect(), key=lambda r: (r.lang, r.doc_id)):
         sample.setdefault(r.lang, []).append(letters_of(r.text))
     return {lang: "\n".join(parts).encode() for lang, parts in sample.items() if any(parts)}
 

@@ -247,12 +247,12 @@ def _count_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["form", "bad", "good"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, lexicon_size: int = 5000, share: float = 0.02) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, share: float = 0.02) -> Grammar:
     """A grammar from labelled documents: docs (doc_id, text), labels (doc_id, toxic).
 
     The sample is bounded: at most `rows` documents of either label. The insult lexicon gets the words and stems that
     are in far more toxic than other documents even after allowing for chance, and in a `share` of the toxic ones at
-    least: a passage that a few of them have in common makes no insults (`lexicon_size` at most, the heaviest first); the weight is the logarithm of the ratio. The weights of the kinds of matches come from a logistic
+    least: a passage that a few of them have in common makes no insults; the weight is the logarithm of the ratio. The weights of the kinds of matches come from a logistic
     regression on clause matches, drawn towards their defaults. Without labels of both kinds the lexicon is empty.
     Rows without doc_id or without a label of 0 or 1 teach nothing; of several labels of one id the highest counts.
     """
@@ -267,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, lexicon_size: in
     at_most = (F.col("good") + 3 * F.sqrt(F.col("good") + 1)) / whole.good
     pure = F.col("bad") / whole.bad >= 10 * F.col("good") / whole.good  # what a language has more of in toxic texts isn't an insult
     ratio = counted.where("bad >= 3 and form <> ''").where(F.col("bad") >= share * whole.bad).where(pure).withColumn("weight", F.log(surely / at_most)).where("weight > 1.0")
-    heavy = ratio.orderBy(F.desc("weight"), "form").limit(lexicon_size).collect()
+    heavy = ratio.orderBy(F.desc("weight"), "form").collect()  # bounded by what texts of the sample have in common
     # the larger the sample, the heavier the sure entries and the better chance finds can be told from them
     heavy = [r for r in heavy if r.weight >= 0.3 * heavy[0].weight]
     whole_words = {r.form: r.bad for r in heavy if not r.form.endswith("*")}

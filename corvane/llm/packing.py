@@ -17,9 +17,9 @@ from corvane.llm.shared import cut, with_row_ids
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of a shard, islands that evolve packings of the same shard, and individuals and generations of an
-#: island, and the emptiest bins that a crossover dissolves at most.
-SHARD, ISLANDS, POPULATION, GENERATIONS, DISSOLVED = 8192, 2, 8, 36, 6
+#: Pieces of a shard, islands that evolve packings of the same shard, individuals of an island and generations of an
+#: epoch, generations without a bin less after which it ends, and the emptiest bins that a crossover dissolves at most.
+SHARD, ISLANDS, POPULATION, GENERATIONS, PATIENCE, DISSOLVED = 8192, 2, 8, 80, 32, 6
 SEQUENCES_A_SHARD = 1 << 24
 
 # What the vocabulary's own pre-tokenizer splits on, for lower-cased text in Latin letters; see encoder().
@@ -196,18 +196,20 @@ def evolve(lengths: np.ndarray, arrived: list[np.ndarray], capacity: int, seed:
     """The fittest packing, and the number of generations that it took.
 
     Arrived packings and others by best fit in random orders, with no regard for length, make the first generation.
-    In each a child of two of them replaces the least fit; the fittest stays. It ends early only when there are as few
-    bins as the total length allows.
+    In each a child of two of them replaces the least fit; the fittest stays. It ends early when there are as few bins as
+    the total length allows, or when the fittest has had no bin less for PATIENCE generations.
     """
     rng, least = np.random.default_rng(seed), -(-int(lengths.sum()) // capacity)
     people = [*arrived, *(best_fit(lengths, rng.permutation(len(lengths)), capacity) for _ in range(POPULATION - len(arrived)))]
     ranked = sorted(((fitness(lengths, p), i, p) for i, p in enumerate(people)), key=lambda x: x[:2])
-    generation = 0
-    while generation < GENERATIONS and ranked[0][0][0] > least:
+    generation = since = 0
+    while generation < GENERATIONS and since < PATIENCE and ranked[0][0][0] > least:
         generation += 1
+        fewest = ranked[0][0][0]
         a, b = sorted(rng.choice(len(ranked), 2, replace=False).tolist())
         child = crossover(ranked[a][2], ranked[b][2], lengths, capacity, rng)
         ranked = sorted([*ranked[:-1], (fitness(lengths, child), POPULATION + generation, child)], key=lambda x: x[:2])
+        since = since + 1 if ranked[0][0][0] == fewest else 0
     return ranked[0][2], generation
 
 

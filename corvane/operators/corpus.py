@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import char_ngrams, dedup_key
 from corvane.operators import dedup, sampling, templates
+from corvane.sources.sums import prefix_sums
 
 
 def generate(patterns: DataFrame, slot_values: DataFrame, shares: DataFrame, total: int, save: Callable[[DataFrame, str], DataFrame], threshold: float = 0.9) -> DataFrame:
@@ -22,16 +24,86 @@ def generate(patterns: DataFrame, slot_values: DataFrame, shares: DataFrame, tot
     sizes = slot_values.groupBy("slot").agg(F.count("*").cast("int").alias("size"))
     capacities = templates.family_capacities(templates.pattern_capacities(patterns, sizes))
     order = Window.partitionBy("category").orderBy("family_id")
-    families = capacities.join(F.broadcast(shares), "category").select("category", "share", F.col("family_id").alias("family"), (F.row_number().over(order) - 1).alias("position"), "capacity")
+    families = capacities.join(shares, "category").select("category", "share", F.col("family_id").alias("family"), (F.row_number().over(order) - 1).alias("position"), "capacity")
     quota = save(sampling.allocate_quota(families, total), "corpus-quota").select(F.col("family").alias("family_id"), "quota")
     made = templates.fillings(patterns, slot_values, total).join(patterns.select("pattern_id", "family_id", "category"), "pattern_id")
     made = save(made.withColumn("key", F.md5(dedup_key(F.col("text")))), "corpus-made")
     rank = F.row_number().over(Window.partitionBy("family_id").orderBy("key", "pattern_id", "index"))
     first = dedup.first_of_each(made.withColumn("place", F.struct("pattern_id", "index")), "key", "place")
-    chosen = first.withColumn("rank", rank).join(F.broadcast(quota), "family_id").where("rank <= quota")
+    chosen = first.withColumn("rank", rank).join(quota, "family_id").where("rank <= quota")
     # the normalized form has a Python function in it, which can't stand under the lambda of the grams
     numbered = save(chosen.select(F.xxhash64("key").alias("id"), "text", "category", "family_id", dedup_key(F.col("text")).alias("form")), "corpus-chosen")
     grams = save(numbered.select("id", char_ngrams(F.col("form")).alias("grams")), "corpus-grams")
     accepted = dedup.accept_greedily(grams, dedup.near_pairs(grams, save, threshold), save).where("accepted").select("id")
     kept = numbered.join(accepted, "id", "left_semi")
     return kept.select(F.concat(F.lit("SCR-"), "family_id", F.lit("-"), F.substring(F.sha1("text"), 1, 12)).alias("script_id"), "text", "category", "family_id", F.char_length("text").alias("n_chars"))
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Scripts, what became of every drawn text and every place that stayed empty, and the families that fell short."""
+
+    rows: DataFrame
+    counts: dict[str, int]
+    shortfalls: DataFrame
+
+
+def build(patterns: DataFrame, slot_values: DataFrame, shares: DataFrame, total: int, save: Callable[[DataFrame, str], DataFrame], pairs: DataFrame | None = None, threshold: float = 0.9, seed: int = 42) -> Corpus:
+    """A corpus with a quota for each pattern: texts are drawn, judged and drawn again until quotas or capacities are met.
+
+    patterns: pattern_id, family_id, category, pattern, and with `pairs` a pair (see templates.pattern_capacities). Families
+    get quotas by capacity, their patterns by theirs. In each round every pattern draws as many new fillings as it lacks.
+    A filling is refused for two slots with one value, for the normalized form of an earlier text, or for near
+    duplication of an accepted one; earlier rounds go before later ones, and inside a round pattern_id and number decide.
+    Reasons are counted by observing the rows as they are written. counts: requested, drawn, accepted, doubled_value,
+    exact_duplicate, near_duplicate and quota_unfilled: drawn ones are accepted or refused for one reason, and what was
+    requested (as far as categories have families) is accepted or unfilled.
+    """
+    sizes = slot_values.groupBy("slot").agg(F.count("*").cast("int").alias("size"))
+    capacities = save(templates.pattern_capacities(patterns, sizes, pairs), "corpus-capacities")
+    order = Window.partitionBy("category").orderBy("family_id")
+    families = templates.family_capacities(capacities).join(shares, "category").select("category", "share", F.col("family_id").alias("family"), (F.row_number().over(order) - 1).alias("position"), "capacity")
+    quota = save(sampling.allocate_quota(families, total).select(F.col("family").alias("family_id"), "quota"), "corpus-quota")
+    wanted = save(templates.pattern_quotas(capacities, quota), "corpus-wanted")
+    counts = dict.fromkeys(("drawn", "accepted", "doubled_value", "exact_duplicate", "near_duplicate"), 0)
+    kept, state = None, wanted.select("pattern_id", "capacity", "wanted", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
+    while True:
+        lacking = (F.col("n") < F.col("wanted")) & (F.col("first") < F.col("capacity"))
+        asked = state.where(lacking).withColumn("last", F.least(F.col("capacity"), F.col("first") + F.col("wanted") - F.col("n")))
+        if not asked.limit(1).count():
+            break
+        made = templates.drawn(patterns.join(asked.select("pattern_id", "first", "last"), "pattern_id"), slot_values, pairs, seed)
+        made = made.withColumn("form", dedup_key(F.col("text"))).withColumn("key", F.when(~F.col("doubled"), F.md5("form")))
+        made = save(made.select("pattern_id", "k", "text", "doubled", "form", "key"), "corpus-drawn")
+        place = F.struct("pattern_id", "k")
+        earliest = made.where("key is not null").groupBy("key").agg(F.min(place).alias("earliest"))
+        judged = made.join(earliest, "key", "left")
+        if kept is not None:
+            judged = judged.join(kept.select("key", F.lit(True).alias("known")).distinct(), "key", "left")
+        known = F.coalesce(F.col("known"), F.lit(False)) if kept is not None else F.lit(False)
+        reason = F.when(F.col("doubled"), "doubled_value").when(known | (place != F.col("earliest")), "exact_duplicate")
+        judged = save(judged.withColumn("reason", reason).select("pattern_id", "k", "text", "form", "key", "reason"), "corpus-judged")
+        before = (kept.agg(F.max("id")).first()[0] or 0) + 1 if kept is not None else 0
+        fresh = prefix_sums(judged.where("reason is null").withColumn("one", F.lit(1).cast("long")), "one", ["pattern_id", "k"]).withColumn("id", F.col("before") + before).drop("one", "before", "reason")
+        fresh = save(fresh, "corpus-fresh")
+        both = fresh if kept is None else kept.unionByName(fresh)
+        grams = save(both.select("id", char_ngrams(F.col("form")).alias("grams")), "corpus-grams")
+        # those kept before are no duplicates of each other, and go before the new ones
+        accepted = dedup.accept_greedily(grams, dedup.near_pairs(grams, save, threshold), save).where("accepted").select("id", F.lit(True).alias("stays"))
+        verdicts = judged.where("reason is not null").select("pattern_id", "k", "reason").unionByName(fresh.join(accepted, "id", "left").select("pattern_id", "k", F.when(F.col("stays").isNull(), "near_duplicate").alias("reason")))
+        seen = Observation()
+        watched = verdicts.observe(seen, F.count(F.lit(1)).alias("drawn"), F.count_if(F.col("reason").isNull()).alias("accepted"), *(F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(r) for r in ("doubled_value", "exact_duplicate", "near_duplicate")))
+        verdicts = save(watched, "corpus-verdicts")
+        counts = {c: n + seen.get[c] for c, n in counts.items()}
+        kept = save(both.join(accepted, "id", "left_semi"), "corpus-kept")
+        won = verdicts.where("reason is null").groupBy("pattern_id").agg(F.count("*").alias("won"))
+        later = state.join(asked.select("pattern_id", "last"), "pattern_id", "left").join(won, "pattern_id", "left")
+        state = save(later.select("pattern_id", "capacity", "wanted", F.coalesce("last", "first").alias("first"), (F.col("n") + F.coalesce("won", F.lit(0))).alias("n")), "corpus-state")
+    asked_for = wanted.agg(F.coalesce(F.sum("wanted"), F.lit(0))).first()[0]
+    counts = {"requested": asked_for, **counts, "quota_unfilled": asked_for - counts["accepted"]}
+    produced = state.join(wanted.select("pattern_id", "family_id"), "pattern_id").groupBy("family_id").agg(F.sum("n").alias("produced"), F.sum("wanted").alias("quota"), F.sum("capacity").alias("capacity"))
+    if kept is None:
+        kept = patterns.select("pattern_id", F.lit("").alias("text"), F.lit("").alias("form")).limit(0)
+    rows = kept.join(wanted.select("pattern_id", "family_id", "category"), "pattern_id")
+    rows = rows.select(F.concat(F.lit("SCR-"), "family_id", F.lit("-"), F.substring(F.sha1("text"), 1, 12)).alias("script_id"), "text", "category", "family_id", "pattern_id", F.char_length("form").alias("n_chars"))
+    return Corpus(rows, counts, produced.where("produced < quota"))

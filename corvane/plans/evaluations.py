@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.functions import arrays, text
-from corvane.operators import audio, delivery, evaluation, sampling, subsets, tables
+from corvane.operators import audio, augment, corpus, delivery, evaluation, sampling, subsets, tables
+from corvane.sources.tables import save
 from corvane.plans.queries import BUDGETS, LETTERS, LEXICON_SQL, MANIFEST, PAIRS, SPLIT, TERMS, distance_sql, form_sql, lexicon, manifest, query, read, rounded, term_chain
 
 # ---------------------------------------------------------------- evaluation of turns
@@ -14,8 +16,6 @@ from corvane.plans.queries import BUDGETS, LETTERS, LEXICON_SQL, MANIFEST, PAIRS
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive turns as reference and hypothesis with metadata."""
-    from pyspark.sql.window import Window
-
     said = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     condition = F.when(F.col("turn") % 3 == 0, "noise").when(F.col("turn") % 3 == 1, "clean")
     return said.select(F.concat_ws("-", "conv_id", "turn").alias("utt_id"), F.col("before").alias("reference_raw"), F.col("text").alias("hypothesis_raw"), condition.alias("condition"), F.col("role").alias("source")).repartition("utt_id")
@@ -337,3 +337,49 @@ def screened_clips(spark, sf_dir):
     return judged.join(chosen_ids, "page_id", "left").select("page_id", "kind", "reason", F.coalesce("in", F.lit(False)).alias("kept"))
 
 
+# ---------------------------------------------------------------- augmentation and corpora over the tables
+
+
+@query("""with files as (select s_name as path, greatest(1, cast(round(s_acctbal * 1e6) as bigint)) as w from supplier where s_acctbal > 0),
+r as (select path, sum(w) over (order by path) - w as low, sum(w) over (order by path) as high, sum(w) over () as whole from files),
+d as (select doc_id, least(cast(floor(u * whole) as bigint), whole - 1) as t from (select doc_id, cast(('0x' || substr(sha256(concat('42::noise::', doc_id)), 1, 13)) as bigint) / 4503599627370496.0::double as u from documents), (select any_value(whole) as whole from r))
+select path, count(*) as n from d join r on t >= low and t < high group by path""")
+def noise_draws(spark, sf_dir):
+    """Files of a noise bank drawn by weight for each document, a range join on a hash; suppliers stand for files."""
+    files = read(spark, sf_dir, "supplier").select(F.lit("noise").alias("kind"), F.col("s_name").alias("path"), F.col("s_acctbal").alias("weight"))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("utt_id"))
+    return augment.draw_files(rows, files, "noise").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("""with p as (select p_partkey, p_brand as speaker, p_type as script from part), b as (select speaker, count(*) as nb from p group by 1), t as (select script, count(*) as nt from p group by 1), s as (select speaker, script, count(*) as ns from p group by all)
+select cast(p_partkey as varchar) as utt_id, (select count(*) from p) - nb - nt + ns > 0 as has_other, (select count(*) from p) - nb - nt + ns > 0 as fits from p join b using (speaker) join t using (script) join s using (speaker, script)""")
+def interferer_choice(spark, sf_dir):
+    """Whether each part, as an utterance of its brand reading its type, has another of another brand and type, and whether the one chosen fits."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("utt_id"), F.col("p_brand").alias("speaker_id"), F.col("p_type").alias("script_id"))
+    chosen = augment.interferers(rows)
+    other = rows.select(F.col("utt_id").alias("other_id"), F.col("speaker_id").alias("speaker"), F.col("script_id").alias("script"))
+    both = chosen.join(rows, "utt_id").join(other, "other_id", "left")
+    fits = (F.col("speaker") != F.col("speaker_id")) & (F.col("script") != F.col("script_id")) & (F.col("other_speaker") == F.col("speaker"))
+    return both.select("utt_id", F.col("other_id").isNotNull().alias("has_other"), F.coalesce(fits, F.lit(False)).alias("fits"))
+
+
+@query()
+def corpus_counts(spark, sf_dir):
+    """What became of a corpus of a twentieth as many scripts as there are parts, from patterns that parts make: outcome, n."""
+    part = read(spark, sf_dir, "part")
+    kind = F.split_part("p_type", F.lit(" "), F.lit(1))
+    patterns = part.groupBy("p_brand", kind.alias("kind")).agg(F.min("p_partkey").alias("pattern_id"), F.substring(F.min("p_brand"), 7, 1).alias("category"))
+    form = F.concat(F.lit("the {color} "), F.lower("kind"), F.lit(" of brand "), F.lower("p_brand"), F.lit(" goes to {place} and to {place2}"))
+    told = F.concat(F.lit("{short} stands for {long} at "), F.lower("p_brand"))
+    patterns = patterns.select("pattern_id", F.col("p_brand").alias("family_id"), "category", F.when(F.col("kind") == "PROMO", told).otherwise(form).alias("pattern"), F.when(F.col("kind") == "PROMO", "nations").alias("pair"))
+    colors = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("value")).distinct()
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("position"), F.lower("n_name").alias("value"))
+    ranked = colors.select(F.lit("color").alias("slot"), F.dense_rank().over(Window.orderBy("value")).cast("int").alias("position"), "value")  # a few words
+    values = ranked.unionByName(nations.select(F.lit("place").alias("slot"), "position", "value")).unionByName(nations.select(F.lit("place2").alias("slot"), "position", "value"))
+    pairs = nations.select(F.lit("nations").alias("pair"), "position", F.explode(F.array(F.struct(F.lit("short").alias("slot"), F.substring("value", 1, 3).alias("value")), F.struct(F.lit("long").alias("slot"), F.col("value")))).alias("v")).select("pair", "position", "v.*")
+    categories = patterns.select("category").distinct()
+    shares = categories.withColumn("share", F.lit(1.0 / max(1, categories.count())))
+    made = corpus.build(patterns, values, shares, part.count() // 20, save, pairs)
+    outcomes = spark.createDataFrame(list(made.counts.items()), "outcome string, n long")
+    written = made.rows.agg(F.count_distinct("text").alias("n")).select(F.lit("different_texts").alias("outcome"), "n")
+    return outcomes.unionByName(written)

@@ -87,7 +87,11 @@ class _Encoder:
                 self[word] = out
                 return out
 
-        self.words = Words()
+        self.words, self.held = Words(), held
+
+    def forget(self) -> None:
+        """Lets go of the words that have been kept: a worker goes on to other stages, which need its memory."""
+        self.words.clear(), self.held.clear()
 
     def _ids(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -122,6 +126,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
                     row = (doc_id, name, piece, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
             yield pd.DataFrame(rows, columns=["doc_id", "name", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids)])
+        encoder(vocabulary).forget()
 
     schema = "doc_id long, name string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", F.col("name").cast("string"), "text").mapInPandas(run, schema)

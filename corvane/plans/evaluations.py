@@ -369,8 +369,8 @@ def corpus_counts(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     kind = F.split_part("p_type", F.lit(" "), F.lit(1))
     patterns = part.groupBy("p_brand", kind.alias("kind")).agg(F.min("p_partkey").alias("pattern_id"), F.substring(F.min("p_brand"), 7, 1).alias("category"))
-    form = F.concat(F.lit("the {color} "), F.lower("kind"), F.lit(" of brand "), F.lower("p_brand"), F.lit(" goes to {place} and to {place2}"))
-    told = F.concat(F.lit("{short} stands for {long} at "), F.lower("p_brand"))
+    form = F.concat(F.lit("the {color} "), F.lower("kind"), F.lit(" of "), F.substring(F.md5("p_brand"), 1, 20), F.lit(" goes to {place} and to {place2}"))
+    told = F.concat(F.lit("{short} stands for {long} at "), F.substring(F.md5("p_brand"), 1, 20))
     patterns = patterns.select("pattern_id", F.col("p_brand").alias("family_id"), "category", F.when(F.col("kind") == "PROMO", told).otherwise(form).alias("pattern"), F.when(F.col("kind") == "PROMO", "nations").alias("pair"))
     colors = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("value")).distinct()
     nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("position"), F.lower("n_name").alias("value"))

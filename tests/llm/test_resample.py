@@ -55,8 +55,8 @@ def test_draws_follow_the_target(spark):
     rng = random.Random(2)
     mine, other = [f"m{i}" for i in range(40)], [f"o{i}" for i in range(40)]
     rows = [(i, " ".join(rng.choice(mine if i % 4 == 0 else other) for _ in range(40))) for i in range(400)]
-    bench = spark.createDataFrame([(" ".join(mine * 9),)], "text string")
-    out = resample.resample(spark.createDataFrame(rows, "doc_id long, text string"), bench, buckets=100).collect()
+    bench = spark.createDataFrame([(" ".join(mine * 50),)], "text string")
+    out = resample.resample(spark.createDataFrame(rows, "doc_id long, text string"), bench, width=1, buckets=5000).collect()
     drawn = [r.doc_id for r in out if r["rank"]]
     assert len(drawn) == 100 and sum(d % 4 == 0 for d in drawn) > 80
     assert sorted(r["rank"] for r in out if r["rank"]) == list(range(1, 101))

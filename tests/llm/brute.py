@@ -151,10 +151,10 @@ def aligned(docs: list[tuple[int, str | None]], tokenizer, pieces) -> tuple[list
                 ends.append(ends[-1] + len(x))
             spans.append(list(zip(ends, ends[1:])))
         both = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-        groups, links, at = [], [], [0, 0]
+        groups, links, at, ids_a = [], [], [0, 0], a.ids  # a list of its own each time it is asked for
         for end in both:
             sides = []
-            for k, (ids, places) in enumerate(zip((a.ids, b), spans)):
+            for k, (ids, places) in enumerate(zip((ids_a, b), spans)):
                 inside = []
                 while at[k] < len(ids) and places[at[k]][1] <= end:
                     inside.append(str(ids[at[k]]))
@@ -162,7 +162,7 @@ def aligned(docs: list[tuple[int, str | None]], tokenizer, pieces) -> tuple[list
                 sides.append(",".join(inside))
             groups.append("|".join(sides))
         j = 0
-        for i, (x, y) in zip(a.ids, spans[0]):
+        for i, (x, y) in zip(ids_a, spans[0]):
             while spans[1][j][1] <= x:
                 j += 1
             k = j
@@ -170,7 +170,7 @@ def aligned(docs: list[tuple[int, str | None]], tokenizer, pieces) -> tuple[list
                 links.append((i, b[k]))
                 k += 1
         counts.update(set(links))
-        made.append((d, (len(a.ids), len(b), len(groups), links, sha(";".join(groups)))))
+        made.append((d, (len(ids_a), len(b), len(groups), links, sha(";".join(groups)))))
     best = defaultdict(int)
     for (i, _), n in counts.items():
         best[i] = max(best[i], n)

@@ -81,6 +81,42 @@ def test_prefix_pairs_leave_out_nothing(spark, threshold):
     assert dedup.near_pairs(frame.limit(0), save, threshold).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9, 0.95, 1.0])
+def test_part_pairs_leave_out_nothing(spark, threshold):
+    """Sets of strings and of longs, of all sizes around the threshold, against every pair."""
+    draw, sets = random.Random(5), {}
+    for i in range(120):
+        start = sets[draw.randrange(i)] if i > 10 else set()
+        sets[i] = {g for g in start if draw.random() > 0.04} | {draw.randrange(400) for _ in range(draw.choice((1, 2, 6, 40)))}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    for kind, form in (("long", int), ("string", str)):
+        frame = spark.createDataFrame([(i, [form(g) for g in s]) for i, s in sets.items()], f"id long, grams array<{kind}>")
+        got = {(r.a, r.b) for r in dedup.near_pairs(frame, save, threshold, dedup.part_pairs).collect()}
+        assert {p for p in got if sets[p[0]] != sets[p[1]]} == {p for p in want if all(min(j for j in sets if sets[j] == sets[i]) == i for i in p)}
+    assert dedup.near_pairs(frame.limit(0), save, threshold, dedup.part_pairs).count() == 0
+
+
+def test_part_pairs_meet_few(spark):
+    """Texts of a few dozen words that all share their grams, none alike: candidates are hardly more than there are texts."""
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcdeilmnorst") for _ in range(draw.randrange(2, 9))) for _ in range(60)]
+    from corvane.functions.text import trigram_codes
+
+    frame = spark.createDataFrame([(i, " ".join(draw.choices(words, k=60))) for i in range(600)], "id long, t string").select("id", trigram_codes("t").alias("grams"))
+    frame = save(frame, "few")
+    assert dedup.part_pairs(frame, save, 0.9).count() < 600
+
+
+def test_trigram_codes_are_char_ngrams(spark):
+    from corvane.functions.text import char_ngrams, dedup_key, nfkc, trigram_codes
+
+    texts = ["", "a", "ab", "a b", "abc", "aXb\u00a0c\u3000d\u2028e\u0085f\x1cg", "\u200bab\u180ecd", "ÀÉÎ—õü… 'x' ~y", "𝒜😀é 😀é😀", "ΑΣ Σ ΑΣ", "aaaa", "a\x00b\x00c", None]
+    rows = save(spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", dedup_key(F.col("t")).alias("k"), F.lower(nfkc(F.col("t"))).alias("t")), "codes")
+    for r in rows.select("k", char_ngrams(F.col("k")).alias("g"), trigram_codes("t").alias("c")).collect():
+        number = lambda g: sum((ord(x) + 1) << 21 * (len(g) - 1 - i) for i, x in enumerate(g))
+        assert r.k is None and r.c is None or sorted(map(number, r.g)) == r.c
+
+
 def test_split_and_quota(spark):
     rows = spark.createDataFrame([(c, f"{c}{f}", i) for c in "AB" for f in range(5) for i in range(10 * (f + 1))], "c string, f string, i int")
     out = sampling.split_families(rows, "c", "f", 0.2, 0.2)

@@ -202,6 +202,62 @@ def label_mask(ids: Column, supervised: Column, ignore: int = -100) -> Column:
     return F.transform(ids, lambda x, i: F.when((i < end) & (i >= end - supervised) & x.isNotNull(), x).otherwise(F.lit(ignore)))
 
 
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows of x and y, added up one after another as dot() does, so that every bit is the same."""
+    out = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        out += x[:, i] * y[:, i]
+    return out
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; zero rows stay, and those of a length that is no number become NaN."""
+    length = np.sqrt((v * v).sum(axis=1))[:, None]
+    return np.where(length == 0, 0.0, np.where(np.isfinite(length), v, np.nan) / np.where(length > 0, length, 1.0))
+
+
+def near_queries(queries: DataFrame, rows: DataFrame, least: float, query_rows: int = 4096, block_rows: int = 16384) -> DataFrame:
+    """query_id, vec_id, cosine of queries and rows (vec_id, embedding) with other ids, `least` (above 0) or more; as cosine() gives it.
+
+    Blocks of queries meet blocks of rows. A product of matrices proposes pairs, whose cosines are then made as cosine() does.
+    Vectors that are null or hold a null, and pairs of different lengths, have no cosine above 0.
+    """
+
+    def packed(keys: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(batch.v.to_list()).astype(np.float64)
+        return pd.DataFrame([(keys[0], keys[1], batch.id.to_numpy(np.int64).tobytes(), v.tobytes())], columns=["wide", "block", "ids", "vectors"])
+
+    def blocks(side: DataFrame, most: int, fewest: int) -> DataFrame:
+        known = side.where("vec_id is not null and size(embedding) > 0").where(~F.exists("embedding", lambda x: x.isNull()))
+        n = max(fewest, -(-side.count() // most))
+        dealt = known.select(F.col("vec_id").alias("id"), doubles(F.col("embedding")).alias("v"), F.size("embedding").alias("wide"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"))
+        return save(dealt.groupBy("wide", "block").applyInPandas(packed, "wide int, block int, ids binary, vectors binary"), "packed")
+
+    left = blocks(queries, query_rows, 1).select("wide", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    right = blocks(rows, block_rows, 16)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    ids, query_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
+                    x, q = (np.frombuffer(b, np.float64).reshape(-1, r.wide) for b in (r.vectors, r.queries))
+                    unit = _units(q).T.copy()
+                    for at in range(0, len(x), 1024):
+                        part = x[at : at + 1024]
+                        i, j = np.nonzero(~(_units(part) @ unit < least - 1e-9))  # NaN is above all numbers, as it is for Spark
+                        for first in range(0, len(i), 1 << 18):
+                            a, b = part[i[first : first + (1 << 18)]], q[j[first : first + (1 << 18)]]
+                            norms = np.sqrt(_dots(b, b)) * np.sqrt(_dots(a, a))
+                            cosines = np.where(norms <= TINY, 0.0, _dots(b, a) / norms)
+                            out = pd.DataFrame({"query_id": query_ids[j[first : first + (1 << 18)]], "vec_id": ids[at + i[first : first + (1 << 18)]], "cosine": cosines})
+                            yield out[~(cosines < least) & (out.query_id != out.vec_id)]
+
+    met = right.join(left, "wide").repartition("wide", "block", F.xxhash64("query_ids"))
+    # pandas hands NaN over as null; no cosine here is null
+    return met.mapInPandas(run, "query_id long, vec_id long, cosine double").withColumn("cosine", F.coalesce("cosine", F.lit(float("nan"))))
+
+
 #: Rows of a block of vectors, blocks of a group, and vectors that blocks are gathered around.
 BLOCK_ROWS, GROUP_BLOCKS, PIVOTS = 2048, 1024, 32
 

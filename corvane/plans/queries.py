@@ -592,13 +592,9 @@ def identity_separability(spark, sf_dir):
 @query(f"""with q as (select vec_id, {V} as e from embeddings where vec_id % 100 = 0), c as (select vec_id, {V} as e from embeddings)
 select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) as cosine from q, c where q.vec_id <> c.vec_id and list_cosine_similarity(q.e, c.e) >= 0.3""")
 def cosine_pairs(spark, sf_dir):
-    """A stated query set (ids divisible by 100) against all rows, in blocks of queries that are sent to the rows."""
+    """A stated query set (ids divisible by 100) against all rows, blocks of queries against blocks of rows."""
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries, blocks = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), max(16, -(-rows.count() // 8192))
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    near = right.join(left, "block").where("vec_id <> query_id").select("query_id", "vec_id", arrays.cosine(F.col("query"), F.col("embedding")).alias("cosine"))
-    return near.where("cosine >= 0.3").withColumn("cosine", F.round("cosine", 6))
+    return arrays.near_queries(rows.where("vec_id % 100 = 0"), rows, 0.3).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"""select vec_id, len(embedding) as n_samples, round(len(embedding) / 16000, 9) as duration, round(list_max(list_transform({V}, lambda x: abs(x))), 9) as peak, round(sqrt(list_dot_product({V}, {V}) / len(embedding)), 9) as rms,

@@ -160,3 +160,17 @@ def test_extremes_by_bounds(spark, spread):
     _, compared, there = arrays.extremes(units, 16)
     assert compared < 0.5 * there if spread < 1 else compared <= there
     assert arrays.separability(table.where("id = 903"), "id", "label", "v").count() == 1
+
+
+def test_near_queries(spark):
+    """Cosines by blocks, bit for bit those of cosine(), also of zero, null, infinite and shorter vectors."""
+    draw = random.Random(8)
+    rows = [(i, [draw.gauss(0, 1) + (i % 3) for _ in range(7)]) for i in range(300)]
+    rows += [(300, [0.0] * 7), (301, None), (302, [1.0, None] + [1.0] * 5), (303, [float("inf")] + [1.0] * 6), (304, [1e200] * 7), (305, [1e-9] * 7), (306, [1.0] * 3), (307, []), (400, [float("nan")] * 7), (None, [1.0] * 7), (500, [1.0] * 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = table.where("vec_id % 20 = 0")
+    both = queries.toDF("query_id", "query").join(table, F.col("query_id") != F.col("vec_id"))
+    want = both.select("query_id", "vec_id", arrays.cosine(F.col("query"), F.col("embedding")).alias("cosine")).where("cosine >= 0.3")
+    for sizes in {}, {"query_rows": 5, "block_rows": 9}:
+        got = arrays.near_queries(queries, table, 0.3, **sizes)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

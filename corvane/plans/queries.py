@@ -115,10 +115,11 @@ def edit_kinds(spark, sf_dir):
 
 
 def two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """System a hears the turn, system b the turn without vowels; numbered."""
-    rows = metrics.score(pairs(spark, sf_dir)).withColumn("utt_id", F.expr("conv_id * 1000 + turn"))
-    other = metrics.score(pairs(spark, sf_dir).withColumn("hypothesis", F.translate("hypothesis", "aeiou", ""))).withColumn("utt_id", F.expr("conv_id * 1000 + turn"))
-    return metrics.paired(rows, other)
+    """System a hears the turn, system b the turn without vowels; numbered. Written once: whoever reads it again doesn't score again."""
+    said = save(pairs(spark, sf_dir).select(F.expr("conv_id * 1000 + turn").alias("utt_id"), "reference", "hypothesis"), "systems-said")
+    rows = metrics.score(said)
+    other = metrics.score(said.withColumn("hypothesis", F.translate("hypothesis", "aeiou", "")))
+    return save(metrics.paired(rows, other), "systems")
 
 
 SYSTEMS = f"{PAIRS}, systems as (select conv_id * 1000 + turn as utt_id, reference_length, distance as distance_a, {distance_sql('reference', "translate(hypothesis, 'aeiou', '')")} as distance_b from scored)"

@@ -92,3 +92,13 @@ def test_large_order_keys(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.digits for r in QUERIES["mixed_radix_decode"](spark, str(tmp_path)).collect()}
     assert got == {k: [k // 35 % 3, k // 7 % 5, k % 7] for k in keys}
+
+
+def test_two_systems_are_scored_once(spark, tmp_path):
+    """Whoever reads the scores of the two systems several times, as the bootstrap does, doesn't take the edit distances again."""
+    from corvane.plans.queries import two_systems
+
+    spark.createDataFrame([(1, 0, "user", "say it"), (1, 1, "bot", "said"), (2, 0, "user", None), (2, 1, "bot", "x")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = two_systems(spark, str(tmp_path))
+    assert "levenshtein" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in rows.collect()} == {(1001, 2, 4, 5), (2001, 1, 1, 0)}

@@ -335,26 +335,44 @@ def _pairs_of_blocks(metas: DataFrame, most: int | None) -> DataFrame:
     return found.groupBy("label", "within").agg(best).select("p.a", "p.b").distinct()
 
 
-def _compared(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """label, least, greatest over all vectors of the given pairs of blocks."""
-    side = lambda x: blocks.select(F.col("block").alias(x), F.col("label").alias(f"label_{x}"), F.col("vectors").alias(f"vectors_{x}"), F.size("center").alias(f"wide_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+#: Groups of blocks that meet, and the bytes of vectors above which there are more of them.
+MEETING_GROUPS, MEETING_BYTES = 16, 32 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                x, y = (np.frombuffer(v, np.float64).reshape(-1, r.wide_a) for v in (r.vectors_a, r.vectors_b))
-                cosines = x @ y.T
-                if r.label_a == r.label_b:
-                    cosines = cosines[np.triu_indices(len(x), 1)] if r.a == r.b else cosines
-                    if cosines.size:
-                        out.append((r.label_a, float(cosines.min()), None))
-                else:
-                    out += [(label, None, float(cosines.max())) for label in (r.label_a, r.label_b)]
-            yield pd.DataFrame(out, columns=["label", "least", "greatest"]).astype({"least": "Float64", "greatest": "Float64"})
 
-    return met.mapInPandas(run, "label string, least double, greatest double").groupBy("label").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+def _compared(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """label, least, greatest over all vectors of the given pairs of blocks.
+
+    Groups of blocks meet: a block goes once to each pair of groups that has a pair of it, however many pairs that are. So
+    vectors are sent as often as there are groups, a fixed number until a group would be too large for a task.
+    """
+    size = blocks.agg(F.sum(F.length("vectors"))).first()[0] or 0
+    groups = max(MEETING_GROUPS, -(-size // MEETING_BYTES))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    placed = pairs.select("a", "b", F.least(group("a"), group("b")).alias("l"), F.greatest(group("a"), group("b")).alias("r"))
+    wanted = placed.select("l", "r", F.explode(F.array("a", "b")).alias("block")).distinct()
+    sent = wanted.join(blocks.select("block", "label", F.size("center").alias("wide"), "vectors"), "block")
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        here = batch[batch.a.isna()]
+        held = {r.block: (r.label, np.frombuffer(r.vectors, np.float64).reshape(-1, int(r.wide))) for r in here.itertuples(index=False)}
+        met = batch[batch.a.notna()]
+        least, greatest = {}, {}
+        for i, j in zip(met.a.astype("int64"), met.b.astype("int64")):
+            (label, x), (other, y) = held[i], held[j]
+            cosines = x @ y.T
+            if label == other:
+                cosines = cosines[np.triu_indices(len(x), 1)] if i == j else cosines
+                if cosines.size:
+                    least[label] = min(least.get(label, np.inf), float(cosines.min()))
+            else:
+                most = float(cosines.max())
+                for one in (label, other):
+                    greatest[one] = max(greatest.get(one, -np.inf), most)
+        out = [(label, least.get(label), greatest.get(label)) for label in least | greatest]
+        return pd.DataFrame(out, columns=["label", "least", "greatest"]).astype({"least": "Float64", "greatest": "Float64"})
+
+    met = sent.unionByName(placed, allowMissingColumns=True).groupBy("l", "r").applyInPandas(run, "label string, least double, greatest double")
+    return met.groupBy("label").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
 
 
 def extremes(units: DataFrame, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int, int]:
@@ -383,7 +401,8 @@ def separability(rows: DataFrame, key: str, label: str, vector: str, block_rows:
     """
     length = F.sqrt(dot(F.col("v"), F.col("v")))
     known = rows.where(F.col(label).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("label"), doubles(F.col(vector)).alias("v")).withColumn("length", length)
-    units = save(known.where("length > 0").select("id", "label", F.transform("v", lambda x: F.try_divide(x, F.col("length"))).alias("v")), "units")
+    over = F.transform(F.array("length"), lambda n: F.transform("v", lambda x: F.try_divide(x, n)))  # the length is taken once, not for each value
+    units = save(known.where("length > 0").select("id", "label", over[0].alias("v")), "units")
     sums = units.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("d"), F.count("*").alias("n"))
     own = sums.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("d") * F.col("d")).alias("q"))
     whole = sums.groupBy("i").agg(F.sum("d").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("t"))

@@ -162,6 +162,28 @@ def test_extremes_by_bounds(spark, spread):
     assert arrays.separability(table.where("id = 903"), "id", "label", "v").count() == 1
 
 
+def test_extremes_send_blocks_to_groups(spark):
+    """What the comparison shuffles grows as the rows do, though nearly all pairs of blocks are compared."""
+    context, threshold = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def shuffled() -> int:
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    rng, grown = np.random.default_rng(7), []
+    spark.conf.set(threshold, -1)
+    try:
+        for n in 800, 3200:
+            made = rng.normal(size=(n, 32))
+            units = spark.createDataFrame([(str(i), "ab"[i % 2], (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(made)], "id string, label string, v array<double>")
+            before = shuffled()
+            arrays.extremes(units, 16)[0].collect()
+            grown.append(shuffled() - before)
+    finally:
+        spark.conf.unset(threshold)
+    assert grown[1] < 5 * grown[0]
+
+
 def test_near_queries(spark):
     """Cosines by blocks, bit for bit those of cosine(), also of zero, null, infinite and shorter vectors."""
     draw = random.Random(8)

@@ -29,7 +29,8 @@ def records(rows: DataFrame, terms: list[str], form: Callable[[Column], Column]
     """
     rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in METADATA.items() if c not in rows.columns})
     rows = rows.withColumn("hypothesis_raw", F.coalesce("hypothesis_raw", F.lit("")))
-    made = rows.withColumns({"reference_normalized": form(F.col("reference_raw")), "hypothesis_normalized": form(F.col("hypothesis_raw"))})
+    # dealt out between the forms and the edits, so that forms are made once and a task has one Python worker, not two
+    made = rows.withColumns({"reference_normalized": form(F.col("reference_raw")), "hypothesis_normalized": form(F.col("hypothesis_raw"))}).repartition("utt_id")
     made = made.withColumns({"edits": edit_operations("reference_normalized", "hypothesis_normalized"), "wanted": term_counts(F.col("reference_normalized"), terms), "heard": term_counts(F.col("hypothesis_normalized"), terms)})
     length = F.char_length("reference_normalized")
     scored = lambda c: F.when(length > 0, c)

@@ -18,7 +18,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive turns as reference and hypothesis with metadata."""
     said = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     condition = F.when(F.col("turn") % 3 == 0, "noise").when(F.col("turn") % 3 == 1, "clean")
-    return said.select(F.concat_ws("-", "conv_id", "turn").alias("utt_id"), F.col("before").alias("reference_raw"), F.col("text").alias("hypothesis_raw"), condition.alias("condition"), F.col("role").alias("source")).repartition("utt_id")
+    return said.select(F.concat_ws("-", "conv_id", "turn").alias("utt_id"), F.col("before").alias("reference_raw"), F.col("text").alias("hypothesis_raw"), condition.alias("condition"), F.col("role").alias("source"))
 
 
 def plain_form(c):
@@ -91,7 +91,7 @@ select n_utterances, round(d, 9) as cer_default, round(v, 9) as cer_variant, rou
 def rescore_variants(spark, sf_dir):
     """Rates under the default form and under one that keeps punctuation."""
     variant = lambda c: text.normalize(c, drop_punctuation=False)
-    return rounded(evaluation.rescore(turns(spark, sf_dir), plain_form, variant), "cer_default", "cer_variant", "absolute_reduction", "relative_reduction")
+    return rounded(evaluation.rescore(turns(spark, sf_dir).repartition("utt_id"), plain_form, variant), "cer_default", "cer_variant", "absolute_reduction", "relative_reduction")
 
 
 # ---------------------------------------------------------------- lexicon

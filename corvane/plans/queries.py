@@ -50,9 +50,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     A turn without text is empty, be it the reference or the hypothesis; only the first turn has none before it.
     """
     turn = Window.partitionBy("conv_id").orderBy("turn")
-    said = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("before", F.lag("text").over(turn)).where("before is not null").repartition("conv_id", "turn")
+    said = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("before", F.lag("text").over(turn)).where("before is not null")
     form = lambda c: text.normalize(F.col(c), keep_digit_separators=False)
-    return said.select("conv_id", "turn", "role", form("before").alias("reference"), form("text").alias("hypothesis"))
+    # dealt out behind the forms: else they would be made once for Python and once more for the rest
+    return said.select("conv_id", "turn", "role", form("before").alias("reference"), form("text").alias("hypothesis")).repartition("conv_id", "turn")
 
 
 PUNCT = text.ASCII_PUNCTUATION.replace("'", "''")

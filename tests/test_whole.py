@@ -8,6 +8,7 @@ import pytest
 
 from corvane.functions.text import count_edits, count_edits_by_bits
 from corvane.operators.dedup import accept_texts
+from corvane.plans import evaluations  # noqa: F401  registers its queries
 from corvane.plans.queries import QUERIES, SQL
 from corvane.sources.tables import save
 from tests.compare import connect, differences
@@ -102,3 +103,15 @@ def test_two_systems_are_scored_once(spark, tmp_path):
     rows = two_systems(spark, str(tmp_path))
     assert "levenshtein" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in rows.collect()} == {(1001, 2, 4, 5), (2001, 1, 1, 0)}
+
+
+@pytest.mark.parametrize("name", ["edit_ops_ascii", "eval_records"])
+def test_forms_are_made_once(spark, tmp_path, name):
+    """Texts are dealt out between their forms and their edits: no stage has two Python workers a task, and no form is made twice."""
+    rows = [(1, i, "user", t) for i, t in enumerate(["a b", "", None, "Ünï cödé, 3.5"])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "ArrowEvalPython" in line or " Exchange " in line]
+    at = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+    assert len(at) == 2 and "Exchange" in lines[at[0] + 1]
+    assert plan.count("translate(lower(") == 2

@@ -202,6 +202,36 @@ def test_byte_repeats(spark, texts):
     assert got == brute.byte_repeats({d: t for d, t in as_dict(spark).items() if d != 10})
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_hot_rank(spark, monkeypatch, broadcast):
+    """Positions of one rank are dealt to several tasks, whether the ranks that recur are broadcast or not."""
+    settings = {
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": broadcast,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    }
+    shares, before, write = [], {key: spark.conf.get(key) for key in settings}, suffix_dedup.cut
+
+    def watched(df, name):
+        if name == "suffix-ranks":
+            whole = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)))
+            tasks = [r.n for r in whole.collect()]
+            shares.append(max(tasks) / sum(tasks))
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "cut", watched)
+    positions = spark.range(3000).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord"))
+    positions = positions.select("doc_id", "ord", (F.col("ord") * 100).alias("at"), F.lit(7).cast("long").alias("r"), F.lit(272).alias("len"))
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        got = sorted(tuple(r) for r in suffix_dedup.double_ranks(positions, 400).collect())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == [(d, 0, 572) for d in range(3000)]
+    assert len(shares) == 2 and max(shares) < 0.5
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/7x?q", ""), (2, "https://www.bad.org/es/1", ""), (3, "http://m.bad.org/es/1.html", ""), (4, "http://good.net/de/1", '<link rel="canonical" href="http://z.org/es/5">'), (5, None, None), (6, "no scheme", ""), (7, "http://x.net/fr/2", '<meta http-equiv="refresh" content="0; url=http://z.org/es/5">'), (8, "http://z.org/es/5", ""), (9, "x://h", ""), (9, "x://h", "")]
     pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, verdict string")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+STRETCH = 1000  # fillings made in a row
+
 
 def slots(pattern: Column) -> Column:
     """Names in braces, in the order in which they first appear."""
@@ -97,6 +99,9 @@ def drawn(patterns: DataFrame, slot_values: DataFrame, pairs: DataFrame | None =
 def _numbered(base: DataFrame, seed: int) -> DataFrame:
     """k from first to last - 1, below the capacity, and its index: multiples of a step prime to the capacity visit distinct ones."""
     last = F.least(F.col("capacity"), F.col("last"))
-    asked = base.where(F.col("first") < last).select("*", F.explode(F.sequence(F.col("first"), last - 1)).alias("k"))
+    # patterns are few and fillings many: stretches of them are dealt out over all cores
+    stretches = base.where(F.col("first") < last).select("*", F.explode(F.sequence(F.col("first"), last - 1, F.lit(STRETCH).cast("long"))).alias("_from"))
+    stretches = stretches.repartition(base.sparkSession.sparkContext.defaultParallelism, "pattern_id", "_from")
+    asked = stretches.select("*", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + STRETCH, last) - 1)).alias("k")).drop("_from")
     step = F.lit(2_147_483_647).cast("long")
     return asked.withColumn("index", F.pmod(F.col("k") * (step % F.col("capacity")) + F.pmod(F.xxhash64(F.lit(seed), "pattern_id"), F.col("capacity")), F.col("capacity")))

@@ -96,6 +96,46 @@ def test_part_pairs_leave_out_nothing(spark, threshold):
     assert dedup.near_pairs(frame.limit(0), save, threshold, dedup.part_pairs).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.9, 1.0])
+def test_block_pairs_leave_out_nothing(spark, threshold, monkeypatch):
+    """Sets whose bitmaps have several widths, over many blocks and in one, against every pair."""
+    monkeypatch.setattr(dedup, "LEAST_SETS", 20)
+    monkeypatch.setattr(dedup, "TILE", 50)
+    draw, sets = random.Random(7), {}
+    for i in range(150):
+        start = sets[draw.randrange(i)] if i > 10 and i % 3 else {draw.randrange(4000) for _ in range(draw.choice((1, 2, 6, 40, 300, 510, 530, 1020, 1100)))}
+        sets[i] = {g for g in start if draw.random() > 0.03} | {draw.randrange(4000)}
+    sets[150] = set()
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    for kind, form in (("long", int), ("string", str)):
+        frame = spark.createDataFrame([(i, [form(g) for g in s]) for i, s in sets.items()], f"id long, grams array<{kind}>")
+        for blocks in (1, 7):
+            monkeypatch.setattr(dedup, "BLOCKS", blocks)
+            got = [(r.a, r.b) for r in dedup.block_pairs(frame, save, threshold).collect()]
+            assert want <= set(got) and len(got) == len(set(got))
+    assert dedup.block_pairs(frame.limit(0), save, threshold).count() == 0
+
+
+@pytest.mark.parametrize("name", ["near_dup_document_pairs"])
+def test_documents_are_written_once_a_set(spark, tmp_path, monkeypatch, name):
+    """Texts over few words: nothing that is written, beside pairs, has several rows for each of them, as posts by part had."""
+    from corvane.plans import queries
+
+    draw, rows = random.Random(8), {}
+    words = ["".join(draw.choice("abcdeilmnorst") for _ in range(draw.randrange(2, 9))) for _ in range(8)]
+    spark.createDataFrame([(i, " ".join(draw.choices(words, k=150))) for i in range(300)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def watched(df, table):
+        out = save(df, table)
+        rows[table] = max(rows.get(table, 0), out.count())
+        return out
+
+    monkeypatch.setattr(queries, "save", watched)
+    queries.QUERIES[name](spark, str(tmp_path)).collect()
+    pairs = {"near-candidates", "near-met", "greedy-pairs"}
+    assert max(n for table, n in rows.items() if table not in pairs) <= 300, rows
+
+
 def test_part_pairs_meet_few(spark):
     """Texts of a few dozen words that all share their grams, none alike: candidates are hardly more than there are texts."""
     draw = random.Random(6)

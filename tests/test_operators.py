@@ -116,7 +116,7 @@ def test_block_pairs_leave_out_nothing(spark, threshold, monkeypatch):
     assert dedup.block_pairs(frame.limit(0), save, threshold).count() == 0
 
 
-@pytest.mark.parametrize("name", ["near_dup_document_pairs"])
+@pytest.mark.parametrize("name", ["near_dup_document_pairs", "near_dup_greedy"])
 def test_documents_are_written_once_a_set(spark, tmp_path, monkeypatch, name):
     """Texts over few words: nothing that is written, beside pairs, has several rows for each of them, as posts by part had."""
     from corvane.plans import queries

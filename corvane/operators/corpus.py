@@ -137,6 +137,9 @@ def build(patterns: DataFrame, slot_values: DataFrame, shares: DataFrame, total:
     many fillings as a pattern wants, then four times as many as before, and all rounds for which every pattern has the
     rows are judged together, with the same result. What is made and not reached isn't drawn, and not counted.
     """
+    # read at every draw, and small, whatever they come from
+    patterns, slot_values = save(patterns, "corpus-patterns"), save(slot_values, "corpus-values")
+    pairs = save(pairs, "corpus-pairs") if pairs is not None else None
     sizes = slot_values.groupBy("slot").agg(F.count("*").cast("int").alias("size"))
     capacities = save(templates.pattern_capacities(patterns, sizes, pairs), "corpus-capacities")
     order = Window.partitionBy("category").orderBy("family_id")
